@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from presswerk.llm.boilerplate import boilerplate_lines
 from presswerk.llm.repeated_lines import repeated_lines
 from presswerk.llm.residue import residue_rows
-from presswerk.session import stage, table
+from presswerk.llm.truncation import judge_values, truncation_rates
+from presswerk.session import table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return judge_values(table(spark, d, "articles")).where("cut").select("row_id", "field").distinct()
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_rates(judge_values(table(spark, d, "articles")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +35,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
