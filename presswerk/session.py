@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +71,25 @@ def release(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once for each application.
+
+    The archive goes through the shared folder, so it works whatever folder or path the workers start with.
+    """
+    mark = f"presswerk.shipped.{spark.sparkContext.applicationId}"
+    if spark.conf.get(mark, ""):
+        return
+    here = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(here.rglob("*.py")):
+            archive.write(file, f"{here.name}/{file.relative_to(here)}")
+    target = f"{scratch_root(spark)}/presswerk/code-{uuid.uuid4().hex}/presswerk.zip"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    spark.sparkContext.addPyFile(target)
+    spark.conf.set(mark, "yes")
