@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from presswerk.llm.boilerplate import boilerplate_lines
+from presswerk.llm.near_duplicates import all_pairs, near_duplicate_groups, near_duplicates
 from presswerk.llm.repeated_lines import repeated_lines
 from presswerk.llm.residue import residue_rows
 from presswerk.llm.truncation import judge_values, truncation_rates
@@ -21,6 +22,15 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(judge_values(table(spark, d, "articles")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    members, links = near_duplicates(table(spark, d, "articles"))
+    return all_pairs(members, links)
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, d, "articles"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     articles = table(spark, d, "articles")
     return boilerplate_lines(articles).join(residue_rows(articles), "row_id", "left_anti")
@@ -37,6 +47,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_rates": p2_rates,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
