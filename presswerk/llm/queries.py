@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from presswerk.llm.boilerplate import boilerplate_lines
+from presswerk.llm.byte_bpe import encode_documents
+from presswerk.llm.leakage import leaked_documents
 from presswerk.llm.near_duplicates import all_pairs, near_duplicate_groups, near_duplicates
 from presswerk.llm.repeated_lines import repeated_lines
 from presswerk.llm.residue import residue_rows
@@ -44,6 +46,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_rows(table(spark, d, "articles"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_documents(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_rates": p2_rates,
@@ -52,9 +62,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {
+    # inline tags, white space and case fold as in the operator; twelve-word windows meet by equality
+    "p9_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z]+>', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
     "p6_found": r"""
 WITH l AS (
   SELECT row_id, coalesce(source, '') AS source, i AS line_no,
