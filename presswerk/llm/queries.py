@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from presswerk.llm.batch_dedup import accept_in_turn
 from presswerk.llm.boilerplate import boilerplate_lines
 from presswerk.llm.byte_bpe import encode_documents
 from presswerk.llm.leakage import leaked_documents
@@ -38,6 +39,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate_lines(articles).join(residue_rows(articles), "row_id", "left_anti")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return accept_in_turn(table(spark, d, "articles")).where("kept_row_id < row_id").select("kept_row_id", "row_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(table(spark, d, "articles"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_ids": p8_ids,

@@ -100,6 +100,11 @@ def assess(text: str, title: str | None, url: str | None) -> tuple[bool, str, bo
     return False, _OPENING.sub("0", opening)[:200] if short else "", short and bool(opening)
 
 
+def is_placeholder(title: str) -> bool:
+    """Whether a headline is an unfilled place, filler or the heading of an error page."""
+    return unfilled(title) or _kind(line_key(title)) or line_key(title) in {"untitled", "untitled document", "headline", "no title", "new document", "ohne titel", "sans titre", "sin título"}
+
+
 @lru_cache(maxsize=50_000)
 def _kind(key: str) -> bool:
     return len(key) <= 160 and bool(_NOTICE.search(key) or _FILLER.search(key))
