@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from presswerk.llm.abuse import abuse_rates, score_documents
 from presswerk.llm.batch_dedup import accept_in_turn
 from presswerk.llm.boilerplate import boilerplate_lines
 from presswerk.llm.byte_bpe import encode_documents
@@ -59,6 +60,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return score_documents(table(spark, d, "documents"), table(spark, d, "abuse_examples")).where("flagged").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_rates(score_documents(table(spark, d, "documents"), table(spark, d, "abuse_examples")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_rates": p2_rates,
@@ -70,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 
 SQL: dict[str, str] = {
