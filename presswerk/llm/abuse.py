@@ -23,7 +23,7 @@ from presswerk.llm.text import WORD, pattern
 
 MOST_EXAMPLES = 20_000  # bound of the judged texts read to fit the two dictionaries
 WINDOW, STEP = 12, 6  # words of a piece of a long sentence, and from one piece to the next
-LEVEL = 6
+LEVEL = 3
 
 # Wordings that mark each kind, in the languages of the sources, for the toxic dictionary.
 TOXIC_SEEDS = """you are a worthless idiot moron imbecile cretin dumbass scumbag bastard asshole bitch piece of shit piece of garbage loser
@@ -74,6 +74,11 @@ der Fährhafen, das Rettungspaket, die Rentenreform, la réforme des retraites,
 _LOOKALIKE = str.maketrans("аеорсухіїјѕԁһӏԛԝвкмнтгзбпилАЕОРСУХІВКМНТоο0αεικνρτυχ", "aeopcyxiijsdhlqwbkmhtrsbnnlAEOPCYXIBKMHToooaeiknptux")
 _LEET = str.maketrans("013457@$", "oieastas")
 _MARKS = re.compile("[­͏؜ᅟ​-‏‪-‮⁠-⁯︀-️﻿]")
+_COMBINING = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+_FOREIGN = re.compile("[\u0370-\u052f]")
+_FOREIGN_WORD = re.compile("[^\\W\\d_]*[\u0370-\u052f][^\\W\\d_]*")
+_LATIN = re.compile("[a-zA-Z]")
+_MIXED = re.compile(r"[a-zA-Z][0-9@$]|[0-9@$][a-zA-Z]")
 _SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*·•~/|]{1,2}){2,}[^\W\d_](?![^\W\d_])")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
 _MASKED = re.compile(r"(?<![\w*])([^\W\d_]{1,3})([*#%@_]{1,12})([^\W\d_]{0,4})(?![\w*])")
@@ -121,6 +126,12 @@ def _unmask(m: re.Match) -> str:
     return next(fits, m[0])
 
 
+def _unlike(m: re.Match) -> str:
+    """A word in which look-alikes stand beside Latin letters, or which look-alikes alone make a Latin word."""
+    plain = m[0].translate(_LOOKALIKE)
+    return plain if plain.isascii() or _LATIN.search(m[0]) else m[0]
+
+
 def _unleet(m: re.Match) -> str:
     """A word with digits and signs for letters, if it then is a toxic word or was mostly letters anyway."""
     plain = m[0].translate(_LEET)
@@ -129,23 +140,19 @@ def _unleet(m: re.Match) -> str:
 
 def undisguise(text: str) -> str:
     """The text as it reads: invisible and combining marks, look-alike letters, spelled-out and stretched words undone."""
-    text = _MARKS.sub("", text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", _MARKS.sub("", text))
+        if _COMBINING.search(text):
+            text = _COMBINING.sub("", text)
+        if _FOREIGN.search(text):
+            text = _FOREIGN_WORD.sub(_unlike, text)
     if "&" in text:
         text = html.unescape(text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        words = []
-        for word in re.split(r"(\W+)", text):
-            latin = sum("a" <= c <= "z" or "A" <= c <= "Z" for c in word)
-            words.append(word.translate(_LOOKALIKE) if not word.isascii() and (latin or not re.search(r"[^\W\d_]{2,}", word) is None and len(word.translate(_LOOKALIKE).encode("ascii", "ignore")) == len(word)) else word)
-        text = "".join(words)
-        if unicodedata.normalize("NFD", text).count("̀") or any(unicodedata.combining(c) for c in text):
-            text = "".join(c for c in text if not unicodedata.combining(c))
     text = _LONG.sub(r"\1", text)
     if "*" in text or "#" in text or "@" in text or "%" in text:
         text = _MASKED.sub(_unmask, text)
     text = _SPELLED.sub(_unspell, text)
-    return _LEETED.sub(_unleet, text).lower()
+    return (_LEETED.sub(_unleet, text) if _MIXED.search(text) else text).lower()
 
 
 def windows(text: str) -> Iterator[str]:
@@ -198,13 +205,15 @@ class Scorer:
         A window's score follows its distance and is one half at the threshold; without a marker of such content, or
         where it reports on such content, it stays below one half.
         """
-        best, where = 0.0, None
+        best, where, least = -9.0, None, self.held.threshold
+        toxic, ordinary = self.toxic, self.ordinary
         if text:
             for window in windows(undisguise(text)):
-                score = 1 / (1 + math.exp(-16 * (self.distance(window) - self.held.threshold)))
-                if score > best and (score < 0.5 or confirmed(window)):
-                    best, where = score, window
-        return best, where
+                data = window.encode("utf-8", "replace")
+                distance = (len(ordinary(data)) - len(toxic(data))) / max(len(data), 24)
+                if distance > best and (distance < least or confirmed(window)):
+                    best, where = distance, window
+        return (1 / (1 + math.exp(-16 * (best - least))), where) if where else (0.0, None)
 
 
 def confirmed(window: str) -> bool:
