@@ -135,7 +135,8 @@ def _unlike(m: re.Match) -> str:
 def _unleet(m: re.Match) -> str:
     """A word with digits and signs for letters, if it then is a toxic word or was mostly letters anyway."""
     plain = m[0].translate(_LEET)
-    return plain if plain.lower() in _WORDS or sum(c.isalpha() for c in m[0]) * 2 >= len(m[0]) else m[0]
+    mostly = sum(c.isalpha() for c in m[0]) * 2 >= len(m[0]) and "@" not in m[0]
+    return plain if mostly or plain.lower() in _WORDS else m[0]
 
 
 def undisguise(text: str) -> str:
@@ -245,12 +246,12 @@ def fit(examples: list[tuple[str, str]]) -> Dictionaries:
 def choose(bad: list[float], good: list[float]) -> float:
     """The middle of the gap between the two sides, where there is one, else what keeps 19 of 20 toxic sentences.
 
-    It is never under -0.2: there the ordinary dictionary describes a window clearly better.
+    It is never under -0.25: there the ordinary dictionary describes a window clearly better.
     """
     if not bad:
         return 0.0
-    least, most = bad[len(bad) // 20], good[-1] if good else -0.2
-    return max(-0.2, (least + most) / 2 if most < least else least)
+    least, most = bad[len(bad) // 20], good[-1] if good else -0.25
+    return max(-0.25, (least + most) / 2 if most < least else least)
 
 
 def fit_on(examples: DataFrame, most: int = MOST_EXAMPLES) -> Dictionaries:

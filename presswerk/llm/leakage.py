@@ -131,7 +131,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least_words: int = L
     """``(doc_id, item_id, words, doc_at, item_at)``: every maximal run of at least ``least_words`` words that a
     document shares with an item, with its length and its places (in words, from 0).
 
-    Needs ``doc_id, text`` and ``item_id, text``. Null, empty and short texts match nothing; repeated documents each
+    Needs ``doc_id, text`` and ``item_id, text``. Null, empty and short texts and documents without an id match nothing; repeated documents each
     match. Items are a held-out set of given size: they are read to the driver in blocks and each block is broadcast;
     documents are never moved.
     """
@@ -167,7 +167,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least_words: int = L
             if names:
                 yield search_shard(names, parts, held, least_words)
 
-        part = documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(run, SCHEMA)
+        part = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -101,10 +101,10 @@ def repeated_lines(articles: DataFrame, least_rows: int = 5, least_share: float
 
     Lines are the same when they agree after trimming, with white space folded, digit runs as one ``0``, in lower
     case; they are counted from 1 with blank lines, which are never given. A line twice in one row counts that row
-    once and is given twice. Empty tables give no rows.
+    once and is given twice; a row without an id counts and gives none. Empty tables give no rows.
     """
     over = repeated_templates(articles, least_rows, least_share)
-    rows = articles.where(F.col("extracted_text").isNotNull()).select("row_id", F.coalesce("source", F.lit("")).alias("source"), "extracted_text")
+    rows = articles.where(F.col("extracted_text").isNotNull() & F.col("row_id").isNotNull()).select("row_id", F.coalesce("source", F.lit("")).alias("source"), "extracted_text")
     return rows.join(over, "source").mapInPandas(_look_up, "row_id bigint, line_no bigint")
 
 

@@ -134,11 +134,11 @@ def residue_rows(articles: DataFrame, least_headlines: int = 5) -> DataFrame:
     """``row_id`` of the rows whose ``extracted_text`` is residue, each once.
 
     Needs ``row_id, title, url, extracted_text``; nulls in title and url count as empty, rows with a null or blank
-    text are no residue. A short body is residue as well if its opening line stands over at least
+    text or without an id are no residue. A short body is residue as well if its opening line stands over at least
     ``least_headlines`` different headlines of bodies that share no term with slug and title.
     """
     seen = stage(
-        articles.where(F.col("extracted_text").isNotNull()).select("row_id", "title", "url", "extracted_text").mapInPandas(_assess_batches, SCHEMA),
+        articles.where(F.col("extracted_text").isNotNull() & F.col("row_id").isNotNull()).select("row_id", "title", "url", "extracted_text").mapInPandas(_assess_batches, SCHEMA),
         "residue",
     )
     # counted per (opening, headline) first: an opening that a third of the rows share is spread by headline

@@ -124,8 +124,9 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         None if kind == "ended" else [f(value) for f in MEASURES.values()],
                     )
                 )
-        frame = pd.DataFrame(out, columns=["row_id", "source", "field", "ending", "text_key", "tail_key", "lengths"])
-        yield frame.astype({"text_key": "Int64", "tail_key": "Int64"})
+        frame = pd.DataFrame(out, columns=["row_id", "source", "field", "ending", "text_key", "tail_key", "lengths"], dtype=object)
+        # with nulls among them the keys would turn into floats and lose digits
+        yield frame.assign(**{k: pd.array(frame[k], dtype="Int64") for k in ("row_id", "text_key", "tail_key")})
 
 
 def _writers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
