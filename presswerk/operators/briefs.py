@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from presswerk.config import SECTIONS, SIGNALS, THEMES, TRAITS, WEIGHTS, SelectionRules
-from presswerk.functions.text import collapse, keyword_hits, literals, looks_truncated, mentions, sentence_count, sentences, word_set
+from presswerk.functions.text import collapse, ensure_sentence, keyword_hits, literals, looks_truncated, mentions, sentence_count, sentences, word_set
 from presswerk.functions.urls import source_links
 from presswerk.operators.stories import confidence
 
@@ -133,6 +134,20 @@ def joined_items(resolved: DataFrame) -> DataFrame:
     )
 
 
+def stories_of_items(items: DataFrame, tales: DataFrame, key: str = "item_id") -> DataFrame:
+    """``(key, cluster_id, shared, exact)``: the stories an item's articles belong to.
+
+    A story with exactly the item's set of article ids is its story; only where there is none, all stories that share an
+    id are. One equi-join over the ids; the sizes tell equality.
+    """
+    mine = items.select(key, F.explode(F.array_distinct("article_ids")).alias("article"), F.size(F.array_distinct("article_ids")).alias("n"))
+    theirs = tales.select("cluster_id", F.explode(F.array_distinct("article_ids")).alias("article"), F.size(F.array_distinct("article_ids")).alias("m"))
+    met = mine.join(theirs, "article").groupBy(key, "cluster_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
+    met = met.withColumn("exact", (F.col("shared") == F.col("n")) & (F.col("n") == F.col("m")))
+    best = met.groupBy(key).agg(F.bool_or("exact").alias("any"))
+    return met.join(best, key).where(F.col("exact") | ~F.col("any")).select(key, "cluster_id", "shared", "exact")
+
+
 def is_well_formed(ids: str = "cluster_ids", headline: str = "headline", summary: str = "summary", why: str = "why_it_matters") -> Column:
     """Ids, a headline, a whole summary of two to four sentences and a whole reason."""
     named = F.size(F.filter(ids, lambda x: F.trim(x) != "")) > 0
@@ -252,6 +267,29 @@ def compressed(text: str | Column, strictness: Column) -> Column:
     return F.array_join(F.when(strictness >= 4, F.slice(parts, 1, 2)).when(strictness == 3, F.slice(parts, 1, 3)).otherwise(parts), " ")
 
 
+def noted(text: Column, confidence_of: Column, hits: dict[str, Column], traits: dict[str, Column], notes: dict[str, str]) -> Column:
+    """A compressed text in a reader's manner: calm readers get no exclamation, and up to one, two or three notes follow.
+
+    ``notes`` gives the wording for ``high``, ``medium``, ``low`` and for each kind of hit; a note stands if its trait
+    is at least 4 and its hit or confidence is there.
+    """
+    calm = F.when(traits["calmness"] >= 4, F.replace(text, F.lit("!"), F.lit("."))).otherwise(text)
+    sure = F.when(traits["skepticism"] >= 4, F.coalesce(*[F.when(confidence_of == k, F.lit(notes[k])) for k in ("high", "medium") if k in notes], F.lit(notes.get("low"))))
+    by_trait = {"urgency": "urgency_sensitivity", "novelty": "novelty_appetite", "macro": "macro_orientation", "contrarian": "contrarian_appetite"}
+    more = [F.when((traits[t] >= 4) & (hits[k] > 0), F.lit(notes[k])) for k, t in by_trait.items() if k in notes and k in hits]
+    strict = traits["signal_to_noise_strictness"]
+    most = F.when(strict >= 4, 1).when(strict == 3, 2).otherwise(3)
+    return F.array_join(F.concat(F.array(ensure_sentence(calm, fold=False)), F.slice(F.array_compact(F.array(sure, *more)), 1, most)), " ")
+
+
+def intro_fits(intro: str, focus: str | None, theme: str | None, most_words: int = 35) -> bool:
+    """One sentence of at most ``most_words`` words that names the reader's focus and the theme where there are any."""
+    text = " ".join((intro or "").split())
+    one = len([s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]) == 1
+    low = text.lower()
+    return bool(text) and one and len(text.split()) <= most_words and (not focus or focus.lower() in low) and (not theme or theme.lower() in low)
+
+
 def interest_focus(items: DataFrame, text: Column, interests: list[str]) -> str | None:
     """The first interest found in any item, else the first of their words of three letters and more."""
     tries = [i.lower() for i in interests if i.strip()]

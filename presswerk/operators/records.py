@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from presswerk.functions.markup import extracted
 from presswerk.functions.text import clip, collapse, contains_any, normal_text, strip
 from presswerk.functions.urls import article_id, canonical_url, is_ad_tracking, is_section_front
 
@@ -93,6 +94,40 @@ RSS_FIELDS = {"title": ("title",), "url": ("link", "id", "guid"), "published_at"
 API_FIELDS = {"title": ("title", "headline"), "url": ("url", "link", "id"), "published_at": ("published_at", "published", "updated_at"), "summary": ("summary", "description"), "content": ("content", "body")}
 
 
+def enriched(rows: DataFrame, pages: DataFrame, least_chars: int = 400) -> DataFrame:
+    """Rows with the text of their pages: ``extracted_text``, ``extraction_status`` and ``extraction_method``.
+
+    ``pages`` has ``url, page, status`` (one row an address). Interface rows take their own content as text, feed-only
+    rows are skipped, walled ones blocked; the rest are read from their page, or failed where there is none. Rows with
+    ``attempt`` false (no budget left) are skipped.
+    """
+    held = pages.groupBy("url").agg(F.min_by("page", "status").alias("_page"), F.min("status").alias("_status"))
+    rows = rows.drop("extracted_text", "extraction_status", "extraction_method").join(held, "url", "left")
+    tier, own = F.coalesce("source_access_tier", F.lit("")), normal_text("content")
+    readable = ~tier.isin("rss_only", "api_fulltext", "blocked_or_paywalled")
+    rows = rows.withColumn("_got", F.when(readable, extracted("_page", least_chars)))
+    got = F.col("_got")
+    skip = (tier == "rss_only") | (~F.coalesce(F.col("attempt"), F.lit(True)) if "attempt" in rows.columns else F.lit(False))
+    api = tier == "api_fulltext"
+    of_own = F.when(own.isNull(), "failed").when(F.length(own) >= least_chars, "ok").otherwise("partial")
+    status = (
+        F.when(tier == "blocked_or_paywalled", "blocked")
+        .when(api, of_own)
+        .when(skip, "skipped")
+        .when(F.col("_status") == "blocked", "blocked")
+        .when(F.col("_page").isNull(), "failed")
+        .otherwise(got["status"])
+    )
+    fetched = status.isin("ok", "partial") & ~api
+    return rows.withColumns(
+        {
+            "extracted_text": F.when(api, own).when(fetched, got["text"]),
+            "extraction_status": status,
+            "extraction_method": F.when(api & own.isNotNull(), "api_payload").when(fetched, got["method"]).otherwise("none"),
+        }
+    ).drop("_page", "_status", "_got")
+
+
 def source_limit(rows: DataFrame, most: int, position: str = "row_id", source: str = "source") -> DataFrame:
     """The first ``most`` rows of each source by position. A hot source is cut in its tasks before the shuffle ends:
     Spark turns the filter on the rank into a partial per-group limit."""

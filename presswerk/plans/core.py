@@ -15,7 +15,7 @@ from presswerk.functions.urls import canonical_url, is_ad_tracking, is_section_f
 from presswerk.operators import briefs, records, stories
 from presswerk.operators.timestamps import normalise_instants
 from presswerk.plans.core_sql import SQL
-from presswerk.session import stage, table
+from presswerk.session import spread, stage, table
 
 NOW, DAYS = "2024-06-01 00:00:00", 30
 RULES = SelectionRules(section_minimums={"market": 4, "general": 10, "personal_interest": 1})
@@ -89,17 +89,17 @@ def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "articles").where("raw_html IS NOT NULL").select("row_id", paragraphs(without_noise("raw_html")).alias("p"))
+    rows = spread(table(spark, d, "articles").where("raw_html IS NOT NULL").select("row_id", "raw_html")).select("row_id", paragraphs(without_noise("raw_html")).alias("p"))
     return rows.select("row_id", F.size("p").alias("n_paragraphs"), F.coalesce(F.aggregate("p", F.lit(0), lambda t, x: t + F.length(x)), F.lit(0)).alias("n_chars"))
 
 
 def page_extraction(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "articles").where("raw_html IS NOT NULL").select("row_id", extracted("raw_html").alias("e"))
-    return rows.select("row_id", "e.status", "e.method", F.length("e.text").alias("n_chars"))
+    rows = spread(table(spark, d, "articles").where("raw_html IS NOT NULL").select("row_id", "raw_html")).select("row_id", F.inline(F.array(extracted("raw_html"))))
+    return rows.select("row_id", "status", "method", F.length("text").alias("n_chars"))
 
 
 def content_quality(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "articles").select("row_id", records.content_cascade("title", "summary", "content", "extracted_text").alias("c"))
+    rows = spread(table(spark, d, "articles").select("row_id", "title", "summary", "content", "extracted_text")).select("row_id", records.content_cascade("title", "summary", "content", "extracted_text").alias("c"))
     return rows.select("row_id", "c.quality", F.length("c.text").alias("n_chars"))
 
 
@@ -172,6 +172,18 @@ def draft_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("draft_id", "primary_publisher", "section", "cluster_quality", "source_count", "feed_count", "confidence", F.size("article_ids").alias("n_articles"), F.size("source_links").alias("n_links"))
 
 
+def item_stories(spark: SparkSession, d: str) -> DataFrame:
+    tales = table(spark, d, "candidate_stories").select("cluster_id", "article_ids")
+    drafts = briefs.resolved_drafts(table(spark, d, "story_drafts").select("draft_id", "cluster_ids"), table(spark, d, "candidate_stories"))
+    return briefs.stories_of_items(briefs.joined_items(drafts).select("draft_id", "article_ids"), tales, "draft_id")
+
+
+def page_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "articles").select("row_id", "url", "content", "source_access_tier")
+    pages = table(spark, d, "articles").where("raw_html IS NOT NULL AND url IS NOT NULL").select("url", F.col("raw_html").alias("page"), F.lit("ok").alias("status"))
+    return records.enriched(rows, pages).select("row_id", "extraction_status", "extraction_method", F.length("extracted_text").alias("n_chars"))
+
+
 def draft_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "story_drafts").select("draft_id", briefs.is_well_formed().alias("well_formed"), sentence_count("summary").alias("n_sentences"))
 
@@ -243,7 +255,7 @@ def store_stream(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = [
     p1_found, article_titles, article_sections, section_sources, first_wins, source_limit, fair_share, extraction_attempts, upsert, recent_rows, clean_rows, publisher_counts, url_flags,
     canonical_urls, page_paragraphs, page_extraction, content_quality, article_names, document_sentences, document_points, title_pairs, similar_titles, story_clusters, story_candidates,
-    story_grades, story_ranks, brief_selection, draft_stories, draft_items, draft_forms, draft_prose, draft_grounding, draft_acceptance, profile_scores, profile_order, ingest_counts,
+    story_grades, story_ranks, brief_selection, draft_stories, draft_items, item_stories, page_enrichment, draft_forms, draft_prose, draft_grounding, draft_acceptance, profile_scores, profile_order, ingest_counts,
     ingest_totals, ordered_scan, brief_search, brief_payload, store_stream,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in _NAMES}

@@ -121,6 +121,10 @@ SQL: dict[str, str] = {
           AND NOT regexp_matches(w, '(:|;|-|[.][.][.])$|\\b([Tt]he|[Aa]nd|[Oo]r|[Tt]o|[Oo]f|[Ii]n)[.]$') AND n BETWEEN 2 AND 4, false) AS well_formed, CAST(n AS INTEGER) AS n_sentences
         FROM (SELECT *, len(list_filter(string_split(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS n FROM (
           SELECT draft_id, cluster_ids, trim(regexp_replace(headline, '{W}', ' ', 'g')) AS h, trim(regexp_replace(coalesce(summary, ''), '{W}', ' ', 'g')) AS s, trim(regexp_replace(why_it_matters, '{W}', ' ', 'g')) AS w FROM story_drafts))""",
+    "item_stories": f"""WITH i AS (SELECT draft_id, unnest(list_distinct(flatten(list(article_ids)))) AS a FROM {RESOLVED} GROUP BY draft_id), n AS (SELECT draft_id, count(*) AS n FROM i GROUP BY 1),
+        c AS (SELECT cluster_id, unnest(list_distinct(article_ids)) AS a FROM candidate_stories), m AS (SELECT cluster_id, count(*) AS m FROM c GROUP BY 1),
+        x AS (SELECT draft_id, cluster_id, shared, shared = n AND n = m AS exact FROM (SELECT draft_id, cluster_id, count(*) AS shared FROM i JOIN c USING (a) GROUP BY 1, 2) JOIN n USING (draft_id) JOIN m USING (cluster_id))
+        SELECT draft_id, cluster_id, shared, exact FROM (SELECT draft_id, cluster_id, shared, exact, bool_or(exact) OVER (PARTITION BY draft_id) AS any_exact FROM x) WHERE exact OR NOT any_exact""",
     "profile_scores": f"SELECT profile_id, cluster_id, score, reasons FROM ({_SCORED})",
     "profile_order": f"""SELECT profile_id, CAST(place AS INTEGER) AS place, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY
         list_position(list_concat(priority_sections, list_filter(['market', 'general', 'personal_interest'], lambda s: NOT list_contains(priority_sections, s))), section), score DESC, confidence_rank DESC, lower(headline), cluster_id) AS place FROM ({_SCORED})) WHERE place <= 20""",

@@ -62,6 +62,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with at least as many partitions as the cluster has cores, for maps that cost far more than the rows
+    weigh. A table of many files has them already and is left as it is, so nothing is shuffled at size."""
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(wanted) if scan._jdf.rdd().getNumPartitions() < wanted else scan
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete one scratch table (missing tables are fine)."""
     jvm = spark.sparkContext._jvm

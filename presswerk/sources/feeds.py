@@ -65,6 +65,21 @@ def scan_sources(spark: SparkSession, sources: list[dict], read: dict[str, Calla
     return (conformed(out) if out is not None else conformed(spark.createDataFrame([], "article_id string"))), status
 
 
+def with_retries(fetch: Callable[[str], object], retries: int = 1) -> Callable[[str], object]:
+    """``fetch`` tried up to ``retries + 1`` times; the last error stands."""
+
+    def tried(address: str):
+        for left in range(retries, -1, -1):
+            try:
+                return fetch(address)
+            except Exception:  # noqa: BLE001
+                if not left:
+                    raise
+        return None
+
+    return tried
+
+
 def fetch_pages(rows: DataFrame, fetch: Callable[[str], tuple[str | None, str]], url: str = "url") -> DataFrame:
     """``(url, page, status)`` of each distinct address, by a function that is called in the tasks."""
 

@@ -168,6 +168,35 @@ def test_profile_score_and_output(spark):
     assert briefs.macro_theme(items, F.col("headline")) is None and briefs.interest_focus(items, F.col("headline"), ["Golf"]) == "golf"
 
 
+def test_enrichment_by_tier(spark):
+    page = "<article><p>" + "A paragraph that is certainly longer than forty characters. " * 9 + "</p></article>"
+    rows = spark.createDataFrame(
+        [(1, "u1", None, "rss_plus_extract"), (2, "u2", None, "rss_plus_extract"), (3, "u1", None, "rss_only"), (4, None, "short", "api_fulltext"), (5, None, None, "api_fulltext"), (6, "u1", None, "blocked_or_paywalled"), (7, "u3", None, "rss_plus_extract"), (8, None, None, None)],
+        "row_id bigint, url string, content string, source_access_tier string",
+    )
+    pages = spark.createDataFrame([("u1", page, "ok"), ("u3", None, "blocked")], "url string, page string, status string")
+    got = {r.row_id: (r.extraction_status, r.extraction_method) for r in records.enriched(rows, pages).collect()}
+    assert got == {
+        1: ("ok", "readability"), 2: ("failed", "none"), 3: ("skipped", "none"), 4: ("partial", "api_payload"), 5: ("failed", "none"), 6: ("blocked", "none"), 7: ("blocked", "none"), 8: ("failed", "none"),
+    }
+    spent = records.enriched(rows.withColumn("attempt", F.lit(False)), pages).where("row_id = 1").first()
+    assert spent.extraction_status == "skipped"
+
+
+def test_items_notes_and_intro(spark):
+    tales = spark.createDataFrame([("c1", ["a", "b"]), ("c2", ["b"]), ("c3", ["z", None])], "cluster_id string, article_ids array<string>")
+    items = spark.createDataFrame([(1, ["b", "a", "a"]), (2, ["b", "q"]), (3, []), (4, None)], "item_id bigint, article_ids array<string>")
+    assert {tuple(r) for r in briefs.stories_of_items(items, tales).collect()} == {(1, "c1", 2, True), (2, "c1", 1, False), (2, "c2", 1, False)}
+    one = spark.createDataFrame([("Stop! Now", "high", 1)], "t string, c string, h int")
+    traits = {t: F.lit(4) for t in ("calmness", "skepticism", "urgency_sensitivity", "novelty_appetite", "macro_orientation", "contrarian_appetite")} | {"signal_to_noise_strictness": F.lit(3)}
+    told = one.select(briefs.noted(F.col("t"), F.col("c"), {"urgency": F.col("h"), "novelty": F.lit(0)}, traits, {"high": "Sure.", "urgency": "Soon.", "novelty": "New."})).first()[0]
+    assert told == "Stop. Now. Sure. Soon."
+    assert briefs.intro_fits("Golf and inflation lead today.", "golf", "inflation")
+    assert not briefs.intro_fits("Golf leads. More follows.", None, None) and not briefs.intro_fits("Golf leads.", None, "CPI") and not briefs.intro_fits("", None, None)
+    tries = []
+    assert feeds.with_retries(lambda u: tries.append(u) or (len(tries) > 1 or 1 / 0), 1)("x") is True
+
+
 def test_graph(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (5, 5)], "a bigint, b bigint")
     roots = {r.id: r.root for r in graph.components(links).collect()}
