@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswerk.llm.text import WORD, pattern
+from presswerk.session import spread
 
 MOST_EXAMPLES = 20_000  # bound of the judged texts read to fit the two dictionaries
 WINDOW, STEP = 12, 6  # words of a piece of a long sentence, and from one piece to the next
@@ -275,7 +276,7 @@ def score_documents(documents: DataFrame, examples: DataFrame, most_examples: in
             got = [scorer.judge(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": [g[0] for g in got], "flagged": [g[0] >= 0.5 for g in got], "passage": [g[1] for g in got]})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, score double, flagged boolean, passage string")
+    return spread(documents.select("doc_id", "source", "text")).mapInPandas(run, "doc_id bigint, source string, score double, flagged boolean, passage string")
 
 
 def abuse_rates(scored: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from presswerk.session import spread
+
 # Fixed value: how this family of tokenizers splits text into words.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = np.int64(2**62)
@@ -171,4 +173,4 @@ def encode_documents(documents: DataFrame, ranks_path: str | None = None, key: s
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.record_batch([batch.column(0).slice(at, stop - at), lists], names=[key, "ids"])
 
-    return documents.select(key, text).mapInArrow(run, f"{key} bigint, ids array<int>")
+    return spread(documents.select(key, text)).mapInArrow(run, f"{key} bigint, ids array<int>")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswerk.llm.text import WORD
+from presswerk.session import spread
 
 LEAST_WORDS = 12
 DEPTH = 16  # suffixes are sorted by so many words; matches beyond are walked
@@ -167,7 +168,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least_words: int = L
             if names:
                 yield search_shard(names, parts, held, least_words)
 
-        part = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, SCHEMA)
+        part = spread(documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInPandas(run, SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswerk.llm.text import line_key
-from presswerk.session import stage
+from presswerk.session import spread, stage
 
 FLUSH = 200_000
 TREE_SCHEMA = "source string, template bigint, rows bigint"
@@ -67,7 +67,7 @@ def repeated_templates(articles: DataFrame, least_rows: int = 5, least_share: fl
     the number of rows. Rows with a null ``extracted_text`` don't count; a null source is a source of its own.
     """
     rows = articles.where(F.col("extracted_text").isNotNull()).select(F.coalesce("source", F.lit("")).alias("source"), "extracted_text")
-    merged = rows.mapInPandas(_grow, TREE_SCHEMA).groupBy("source", "template").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= least_rows)
+    merged = spread(rows).mapInPandas(_grow, TREE_SCHEMA).groupBy("source", "template").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= least_rows)
     totals = rows.groupBy("source").agg(F.count("*").alias("total"))
     over = merged.join(totals, "source").where(F.col("rows") >= F.col("total") * least_share)
     return stage(over.groupBy("source").agg(F.sort_array(F.collect_list("template")).alias("templates")), "templates")
@@ -105,7 +105,7 @@ def repeated_lines(articles: DataFrame, least_rows: int = 5, least_share: float
     """
     over = repeated_templates(articles, least_rows, least_share)
     rows = articles.where(F.col("extracted_text").isNotNull() & F.col("row_id").isNotNull()).select("row_id", F.coalesce("source", F.lit("")).alias("source"), "extracted_text")
-    return rows.join(over, "source").mapInPandas(_look_up, "row_id bigint, line_no bigint")
+    return spread(rows).join(over, "source").mapInPandas(_look_up, "row_id bigint, line_no bigint")
 
 
 def without_repeated_lines(articles: DataFrame, least_rows: int = 5, least_share: float = 0.02) -> DataFrame:

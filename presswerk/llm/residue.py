@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from presswerk.llm.boilerplate import is_article_part, page_lines
 from presswerk.llm.text import STOPWORDS, WORD, line_key, pattern
-from presswerk.session import stage
+from presswerk.session import spread, stage
 
 # The syntaxes of template places.
 _PLACE = pattern(
@@ -138,7 +138,7 @@ def residue_rows(articles: DataFrame, least_headlines: int = 5) -> DataFrame:
     ``least_headlines`` different headlines of bodies that share no term with slug and title.
     """
     seen = stage(
-        articles.where(F.col("extracted_text").isNotNull() & F.col("row_id").isNotNull()).select("row_id", "title", "url", "extracted_text").mapInPandas(_assess_batches, SCHEMA),
+        spread(articles.where(F.col("extracted_text").isNotNull() & F.col("row_id").isNotNull()).select("row_id", "title", "url", "extracted_text")).mapInPandas(_assess_batches, SCHEMA),
         "residue",
     )
     # counted per (opening, headline) first: an opening that a third of the rows share is spread by headline

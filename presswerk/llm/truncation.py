@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from presswerk.llm.repeated_lines import template_hash
 from presswerk.llm.residue import residue_rows
 from presswerk.llm.text import WORD, line_key, pattern
-from presswerk.session import stage
+from presswerk.session import spread, stage
 
 FIELDS = ("summary", "content_for_ai")
 
@@ -163,8 +163,8 @@ def judge_values(articles: DataFrame) -> DataFrame:
     values are complete. ``content_for_ai`` of rows without news (problem 7) is never cut. Repeated rows stay.
     """
     columns = ["row_id", "source", "title", "extracted_text", *FIELDS]
-    measured = stage(articles.select(*columns).mapInPandas(_measure, SCHEMA), "endings")
-    known = stage(articles.select("title", "extracted_text").mapInPandas(_writers, EVIDENCE_SCHEMA).distinct(), "writers")
+    measured = stage(spread(articles.select(*columns)).mapInPandas(_measure, SCHEMA), "endings")
+    known = stage(spread(articles.select("title", "extracted_text")).mapInPandas(_writers, EVIDENCE_SCHEMA).distinct(), "writers")
     limits = (
         storage_limits(measured)
         .groupBy("field", "source")
