@@ -47,24 +47,34 @@ def features(rows: DataFrame) -> DataFrame:
 def title_pairs(rows: DataFrame, key: str = "row_id", at: str = "published", hours: int = 72, least_jaccard: float = 0.34, least_shared: int = 2) -> DataFrame:
     """``(a, b, shared, jaccard)``: articles of one section whose title words overlap within a time window.
 
-    A range join by buckets of the window's width: each article asks its own bucket and the next, so every pair meets
-    in one place for each shared word, and only pairs near in time are looked at.
+    A range join by buckets of the window's width: each article asks its own bucket and its neighbours. A title of n
+    words can only reach the overlap if it shares one of its ``n - least overlap + 1`` rarest words, so titles meet by
+    those alone (the order of words is their count over all titles, then the word) and the common words that would pair
+    everything with everything are only counted when a pair is verified. No pair is lost.
     """
     width = hours * 3600
-    base = rows.select(F.col(key).alias("id"), "section", F.unix_timestamp(at).alias("t"), title_words("title").alias("words")).where("t IS NOT NULL")
-    base = base.withColumn("n", F.size("words"))
-    by_word = base.select("id", "section", "t", "n", F.explode("words").alias("word")).withColumn("bucket", F.floor(F.col("t") / width))
-    left = by_word.select(F.col("id").alias("a"), "section", "word", F.col("t").alias("ta"), F.col("n").alias("na"), "bucket")
-    right = by_word.select(F.col("id").alias("b"), "section", "word", F.col("t").alias("tb"), F.col("n").alias("nb"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    met = left.join(right, ["section", "word", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= width))
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    share = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return counted.where((F.col("shared") >= least_shared) & (share >= least_jaccard)).select("a", "b", "shared", share.alias("jaccard"))
+    base = rows.select(F.col(key).alias("id"), "section", F.unix_timestamp(at).alias("t"), title_words("title").alias("words")).where("t IS NOT NULL AND size(words) > 0")
+    base = stage(base, "titles")
+    long = base.select("id", F.explode("words").alias("word"))
+    counted = long.join(long.groupBy("word").agg(F.count("*").alias("n")), "word")
+    by_rarity = counted.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("rare"))
+    size = F.size("rare")
+    needed = F.greatest(F.ceil(F.lit(least_jaccard) * size - 1e-9).cast("int"), F.lit(least_shared))
+    prefix = by_rarity.where(size >= least_shared).select("id", F.explode(F.slice("rare", F.lit(1), F.greatest(size - needed + 1, F.lit(1)))).alias("word"))
+    met = prefix.join(base.select("id", "section", "t"), "id").withColumn("bucket", F.floor(F.col("t") / width))
+    left = met.select(F.col("id").alias("a"), "section", "word", F.col("t").alias("ta"), "bucket")
+    around = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")
+    right = met.select(F.col("id").alias("b"), "section", "word", F.col("t").alias("tb"), around)
+    pairs = left.join(right, ["section", "word", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= width)).select("a", "b").distinct()
+    words = lambda name, as_: base.select(F.col("id").alias(name), F.col("words").alias(as_))
+    both = pairs.join(words("a", "wa"), "a").join(words("b", "wb"), "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")).cast("bigint"))
+    share = F.col("shared") / (F.size("wa") + F.size("wb") - F.col("shared"))
+    return both.where((F.col("shared") >= least_shared) & (share >= least_jaccard)).select("a", "b", "shared", share.alias("jaccard"))
 
 
 def similar_titles(rows: DataFrame, key: str = "row_id", at: str = "published", hours: int = 72, least: float = 0.72) -> DataFrame:
-    """``(a, b, ratio)``: pairs with a common title word whose titles match in at least ``least`` of their characters."""
-    pairs = title_pairs(rows, key, at, hours, 0.0, 1).select("a", "b")
+    """``(a, b, ratio)``: pairs that share a fifth of their title words and match in ``least`` of their characters."""
+    pairs = title_pairs(rows, key, at, hours, 0.2, 1).select("a", "b")
     named = rows.select(F.col(key).alias("id"), normal_title("title").alias("title"))
     both = pairs.join(named.select(F.col("id").alias("a"), F.col("title").alias("ta")), "a").join(named.select(F.col("id").alias("b"), F.col("title").alias("tb")), "b")
     # the shorter title bounds the ratio, so unequal lengths need no comparison

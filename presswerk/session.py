@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_OWN_ROOTS: dict[str, str] = {}
 
 
 def build_session(master: str = "local[*]", app: str = "presswerk", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -34,14 +35,14 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share.
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) is a local folder made, and then written into the session so that every later call agrees.
+    machine) is a local folder made, one for each application.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
+    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
-        root = spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="presswerk-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_ROOTS:
+            _OWN_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="presswerk-")
+        root = _OWN_ROOTS[app]
     return root.rstrip("/")
 
 
