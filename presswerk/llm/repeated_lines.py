@@ -69,7 +69,7 @@ def repeated_templates(articles: DataFrame, least_rows: int = 5, least_share: fl
     rows = articles.where(F.col("extracted_text").isNotNull()).select(F.coalesce("source", F.lit("")).alias("source"), "extracted_text")
     merged = spread(rows).mapInPandas(_grow, TREE_SCHEMA).groupBy("source", "template").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= least_rows)
     totals = rows.groupBy("source").agg(F.count("*").alias("total"))
-    over = merged.join(totals, "source").where(F.col("rows") >= F.col("total") * least_share)
+    over = merged.join(totals, "source").where(F.col("rows") >= F.col("total") * least_share - 1e-9)
     return stage(over.groupBy("source").agg(F.sort_array(F.collect_list("template")).alias("templates")), "templates")
 
 
