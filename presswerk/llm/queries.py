@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from presswerk.llm.abuse import abuse_rates, score_documents
 from presswerk.llm.batch_dedup import accept_in_turn
-from presswerk.llm.boilerplate import boilerplate_lines
+from presswerk.llm.boilerplate import boilerplate_lines, main_bodies
 from presswerk.llm.byte_bpe import encode_documents
-from presswerk.llm.leakage import leaked_documents
+from presswerk.llm.leakage import leaked_documents, without_leaks
 from presswerk.llm.near_duplicates import all_pairs, near_duplicate_groups, near_duplicates
-from presswerk.llm.repeated_lines import repeated_lines
+from presswerk.llm.repeated_lines import repeated_lines, without_repeated_lines
 from presswerk.llm.residue import residue_rows
 from presswerk.llm.truncation import judge_values, truncation_rates
 from presswerk.session import table
@@ -40,6 +41,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate_lines(articles).join(residue_rows(articles), "row_id", "left_anti")
 
 
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    return main_bodies(table(spark, d, "articles"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return accept_in_turn(table(spark, d, "articles")).where("kept_row_id < row_id").select("kept_row_id", "row_id")
 
@@ -48,6 +53,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(table(spark, d, "articles"))
 
 
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    return without_repeated_lines(table(spark, d, "articles"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_rows(table(spark, d, "articles"))
 
@@ -60,6 +69,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    found = leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("words").alias("longest"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    return without_leaks(documents, table(spark, d, "eval_items")).groupBy("source").agg(F.count("*").alias("n_documents"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return score_documents(table(spark, d, "documents"), table(spark, d, "abuse_examples")).where("flagged").select("doc_id")
 
@@ -74,11 +93,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,
+    "p4_texts": p4_texts,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_texts": p6_texts,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p9_items": p9_items,
+    "p9_clean": p9_clean,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
@@ -102,3 +125,4 @@ o AS (SELECT l.source, k FROM l JOIN t USING (source) WHERE k <> '' GROUP BY l.s
       HAVING count(DISTINCT row_id) >= 5 AND count(DISTINCT row_id) >= 0.02 * total)
 SELECT row_id, CAST(line_no AS BIGINT) AS line_no FROM l JOIN o USING (source, k)""",
 }
+SQL["p9_clean"] = f"SELECT source, count(*) AS n_documents FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({SQL['p9_found']})) GROUP BY 1"

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from presswerk.llm.boilerplate import boilerplate_lines, main_text, page_lines
+from presswerk.llm.boilerplate import boilerplate_lines, main_bodies, main_text, page_lines
 from presswerk.llm.repeated_lines import repeated_lines, repeated_templates, without_repeated_lines
 from presswerk.llm.residue import assess, is_placeholder, residue_rows, unfilled
 from presswerk.llm.text import line_key
@@ -42,6 +42,8 @@ def test_boilerplate_operator(spark):
     rows = rows_of(spark, [{"row_id": 1, "extracted_text": f"{BODY}\r\nAdvertisement\r"}, {"row_id": 2}, {"extracted_text": f"{BODY}\nAdvertisement"}, {"row_id": 3, "extracted_text": ""}, {"row_id": 1, "extracted_text": f"{BODY}\nAdvertisement"}])
     assert [tuple(r) for r in boilerplate_lines(rows).collect()] == [(1, 2), (1, 2)]
     assert boilerplate_lines(rows.limit(0)).count() == 0
+    assert sorted((r.row_id or 0, r.text) for r in main_bodies(rows).where("text IS NOT NULL").collect()) == [(0, BODY), (1, BODY), (1, BODY + "\r"), (3, "")]
+    assert main_bodies(rows).where("text IS NULL").count() == 1
 
 
 def test_repeated_lines_match_counting(spark):
