@@ -52,10 +52,10 @@ RESOLVED = """(SELECT r.draft_id, CAST(r.position AS INTEGER) AS position, c.* F
 
 _SCORED = f"""
  SELECT profile_id, cluster_id, section, headline, priority_sections, confidence_rank,
-  round({WEIGHTS["interest"]} * ih * traits.personal_interest_weight + {WEIGHTS["market"]} * mh * traits.market_focus + {WEIGHTS["macro"]} * macro * traits.macro_orientation
+  CAST(round({WEIGHTS["interest"]} * ih * traits.personal_interest_weight + {WEIGHTS["market"]} * mh * traits.market_focus + {WEIGHTS["macro"]} * macro * traits.macro_orientation
    + {WEIGHTS["urgency"]} * urgency * traits.urgency_sensitivity + {WEIGHTS["novelty"]} * novelty * traits.novelty_appetite + {WEIGHTS["contrarian"]} * contrarian * traits.contrarian_appetite
    + {WEIGHTS["confidence"]} * confidence_rank * traits.skepticism + {WEIGHTS["positive"]} * positive * traits.optimism - {WEIGHTS["sensational"]} * sensational * traits.calmness
-   - {WEIGHTS["noise"]} * (low + long) * traits.signal_to_noise_strictness, 6) AS score,
+   - {WEIGHTS["noise"]} * (low + long) * traits.signal_to_noise_strictness, 6) AS DOUBLE) AS score,
   array_to_string(list_filter([CASE WHEN ih > 0 THEN 'interest_hits=' || ih END, CASE WHEN mh > 0 THEN 'market_section_boost' END, CASE WHEN macro > 0 THEN 'macro_hits=' || macro END,
    CASE WHEN urgency > 0 THEN 'urgency_hits=' || urgency END, CASE WHEN novelty > 0 THEN 'novelty_hits=' || novelty END, CASE WHEN contrarian > 0 THEN 'contrarian_hits=' || contrarian END,
    CASE WHEN low > 0 THEN 'low_confidence_penalty' END, CASE WHEN long > 0 THEN 'long_item_penalty' END], lambda x: x IS NOT NULL), ',') AS reasons
@@ -136,4 +136,23 @@ SQL: dict[str, str] = {
         SELECT row_id, {PUBLISHED} AS p, source, title, article_id FROM articles) ORDER BY place LIMIT 100""",
     "brief_search": """SELECT section, count(*) AS n_stories FROM candidate_stories WHERE contains(lower(concat_ws(' ', array_to_string(representative_titles, ' '), candidate_text, array_to_string(primary_entities, ' '), array_to_string(story_tags, ' '))), 'data centre') GROUP BY 1""",
 }
+_NOISE = ("script", "style", "noscript", "svg", "iframe", "template", "form", "nav", "footer", "header")
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&#x27;", "\'\'"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
+
+
+def _paragraphs() -> str:
+    bare = "regexp_replace(raw_html, '(?s)<!--.*?-->', ' ', 'g')"
+    bare = f"regexp_replace({bare}, '(?is)" + "|".join(f"<{t}[^>]*>.*?</{t}>" for t in _NOISE) + "', ' ', 'g')"
+    text = "x"
+    for name, sign in _ENTITIES:
+        text = f"replace({text}, '{name}', '{sign}')"
+    text = f"lower(trim(regexp_replace(regexp_replace({text}, '<[^>]+>', ' ', 'g'), '{W}', ' ', 'g')))"
+    return f"""SELECT row_id, CAST(len(p) AS INTEGER) AS n_paragraphs, CAST(coalesce(list_sum(list_transform(p, lambda y: length(y))), 0) AS INTEGER) AS n_chars FROM (
+        SELECT row_id, list_distinct(list_filter(list_transform(regexp_extract_all({bare}, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {text}), lambda y: length(y) >= 40)) AS p FROM articles WHERE raw_html IS NOT NULL)"""
+
+
+SQL["page_paragraphs"] = _paragraphs()
+SQL["canonical_urls"] = """SELECT row_id, lower(s) || '://' || lower(h) || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url FROM (
+        SELECT row_id, regexp_extract(url, '^([a-zA-Z]+)://', 1) AS s, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS h, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS p,
+          array_to_string(list_sort(list_transform(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)), '&') AS q FROM articles WHERE url IS NOT NULL)"""
 SQL["store_stream"] = SQL["upsert"]
