@@ -49,6 +49,9 @@ _TIME = re.compile(
     r"(?:[Tt]|\s*,?\s*(?:at|à|um|a\s+las?|kl\.?)?\s*)(?<!\d)(\d{1,2})(?:\s*[:hH]\s*(\d{2})|(\d{2})(?=\d{2}))"
     r"(?::?(\d{2})(?:[.,](\d+))?)?\s*([AaPp]\.?\s?[Mm](?![^\W_])\.?)?(?:\s*Uhr\b)?"
 )
+_YEAR_LAST = re.compile(r"^([^\W\d_]{3}) (\d{1,2}) (\d{1,2}:\d{2}:\d{2}) (?:([A-Z]{2,5}) )?(\d{4})$")
+_TIME_FIRST = re.compile(r"^(\d{1,2}:\d{2}(?::\d{2})?(?:\s?[AaPp]\.?[Mm]\.?)?(?:\s[A-Z]{2,4})?)(?: Uhr)?,? (?:on |am |le |el )?(?=\d{1,2}[ .]|[^\W\d_]{3,12}\.? \d)(.+)$")
+_NAME_AFTER = re.compile(r"(?<=[+\-−]\d{4}) \([^()]*\)$")
 _OFFSET = re.compile(r"(?:utc|gmt)?\s*([+\-−])(\d{1,2})(?::?(\d{2}))?$", re.I)
 _EPOCH = re.compile(r"^(\d{10})(?:\.\d+)?$|^(\d{13})(?:\.\d+)?$")
 _ZERO = datetime(1970, 1, 1, tzinfo=UTC)
@@ -64,7 +67,7 @@ def _zone(name: str) -> ZoneInfo | None:
 
 def _offset_or_zone(text: str, default: str):
     """Minutes east, a ZoneInfo, or None where the letters name nothing."""
-    text = text.strip()
+    text = _NAME_AFTER.sub("", text.strip())
     if text[:1] in "[(" and text[-1:] in "])":
         text = text[1:-1].strip()
     if not text:
@@ -114,6 +117,8 @@ def parse_instant(raw: str | None, zone: str | None = "UTC", order: str | None =
         return int(m[1]) if m[1] else int(m[2]) // 1000
     if (m := _WEEKDAY.match(text)) and m[1].lower() not in MONTHS:
         text = text[m.end() :]
+    text = _YEAR_LAST.sub(r"\1 \2 \5 \3 \4", text)
+    text = _TIME_FIRST.sub(r"\2 \1", text)
     for kind, pattern in _DATE:
         m = pattern.match(text)
         day = _date_of(kind, m, order or "dmy") if m else None

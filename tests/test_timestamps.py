@@ -37,6 +37,10 @@ def utc(*parts) -> int:
         ("May 5, 2024, 7:45 AM CT", "UTC", "dmy", utc(2024, 5, 5, 12, 45)),
         ("2024-02-21 07:37:03[Europe/London]", "UTC", "dmy", utc(2024, 2, 21, 7, 37, 3)),
         ("2023-11-26 22:35:07 America/New_York", "UTC", "dmy", utc(2023, 11, 27, 3, 35, 7)),
+        ("Tue Mar 05 2024 10:00:00 GMT-0500 (EST)", "UTC", "dmy", utc(2024, 3, 5, 15)),
+        ("Tue Mar  5 10:00:00 2024", "Europe/Berlin", "dmy", utc(2024, 3, 5, 9)),
+        ("14:30, 5 March 2024", "Europe/London", "dmy", utc(2024, 3, 5, 14, 30)),
+        ("2:05 PM ET on March 5, 2024", "UTC", "dmy", utc(2024, 3, 5, 19, 5)),
         ("2024-01-23", "Australia/Sydney", "dmy", utc(2024, 1, 22, 13)),
         ("2024-03-10 02:30:00", "America/New_York", "dmy", utc(2024, 3, 10, 7, 30)),  # skipped: forward by the gap
         ("2024-11-03 01:30:00", "America/New_York", "dmy", utc(2024, 11, 3, 5, 30)),  # doubled: first pass
