@@ -27,6 +27,13 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("published", F.when(F.col("published_at").rlike(CANONICAL), F.try_to_timestamp("published_at")))
 
 
+def dated_articles(spark: SparkSession, d: str) -> DataFrame:
+    """The stored articles with ``published``: the instant of every readable ``published_at``, whatever its form."""
+    rows = table(spark, d, "articles")
+    read = normalise_instants(rows.select("row_id", "source", "published_at"), table(spark, d, "sources"), utc_fields=(), canonical_too=True)
+    return rows.join(read.select("row_id", F.try_to_timestamp("utc").alias("published")), "row_id", "left")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return normalise_instants(table(spark, d, "articles"), table(spark, d, "sources")).select("row_id", "field", "utc")
 
@@ -124,11 +131,11 @@ def title_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similar_titles(spark: SparkSession, d: str) -> DataFrame:
-    return stories.similar_titles(stories.section(articles(spark, d)))
+    return stories.similar_titles(stories.section(dated_articles(spark, d)))
 
 
 def _sectioned(spark: SparkSession, d: str) -> DataFrame:
-    return stage(records.first_wins(stories.section(articles(spark, d)).drop("raw_html", "extracted_text")), "sectioned")
+    return stage(records.first_wins(stories.section(dated_articles(spark, d)).drop("raw_html", "extracted_text")), "sectioned")
 
 
 def story_clusters(spark: SparkSession, d: str) -> DataFrame:

@@ -230,3 +230,16 @@ def test_sources(spark, tmp_path):
     assert load_or_compute(made, lambda: {"items": []}) == {"items": []} and load_or_compute(made, lambda: 1 / 0) == {"items": []}
     (tmp_path / "c.yaml").write_text("a: 1\n")
     assert read_yaml(tmp_path / "c.yaml") == {"a": 1}
+
+
+def test_stories_read_every_written_time(spark, tmp_path):
+    from presswerk.plans import core
+
+    text = "source, article_id, category, discovery_quality, title, url, published_at, summary, content, raw_html, extracted_text, final_content_for_ai, content_for_ai, editorial_tier".split(", ")
+    times = ["2024-03-01T12:00:00Z", "2024-03-01T12:00:00.250+02:00", "Fri, 01 Mar 2024 09:00:00 GMT", "2024-03-02", "1 March 2024 08:00", None, "soon"]
+    rows = [(i, 0, *({"source": "s", "article_id": f"a{i}", "url": f"https://x.example/{i}", "title": "Harbour bridge opens again", "published_at": t}.get(c) for c in text)) for i, t in enumerate(times)]
+    spark.createDataFrame(rows, "row_id bigint, batch_no int, " + ", ".join(f"{c} string" for c in text)).write.parquet(f"{tmp_path}/articles.parquet")
+    spark.createDataFrame([("s", "Europe/Berlin", "dmy")], "name string, tz_name string, date_order string").write.parquet(f"{tmp_path}/sources.parquet")
+    got = {(r.a, r.b) for r in core.similar_titles(spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a in range(5) for b in range(a + 1, 5)}
+    assert {r.row_id for r in core.story_clusters(spark, str(tmp_path)).collect()} == set(range(5))
