@@ -74,7 +74,10 @@ def title_pairs(rows: DataFrame, key: str = "row_id", at: str = "published", hou
 
 def similar_titles(rows: DataFrame, key: str = "row_id", at: str = "published", hours: int = 72, least: float = 0.72) -> DataFrame:
     """``(a, b, ratio)``: pairs that share a fifth of their title words and match in ``least`` of their characters."""
-    pairs = title_pairs(rows, key, at, hours, 0.2, 1).select("a", "b")
+    return _matching(title_pairs(rows, key, at, hours, 0.2, 1).select("a", "b"), rows, key, least)
+
+
+def _matching(pairs: DataFrame, rows: DataFrame, key: str, least: float) -> DataFrame:
     named = rows.select(F.col(key).alias("id"), normal_title("title").alias("title"))
     both = pairs.join(named.select(F.col("id").alias("a"), F.col("title").alias("ta")), "a").join(named.select(F.col("id").alias("b"), F.col("title").alias("tb")), "b")
     # the shorter title bounds the ratio, so unequal lengths need no comparison
@@ -82,6 +85,25 @@ def similar_titles(rows: DataFrame, key: str = "row_id", at: str = "published",
     return able.withColumn("ratio", matching_ratio("ta", "tb")).where(F.col("ratio") >= least).select("a", "b", "ratio")
 
 
+def story_links(rows: DataFrame, key: str = "row_id", at: str = "published", hours: int = 72, least: float = 0.72) -> DataFrame:
+    """``(a, b)``: every two articles of which one can be the first of a story and the other join it.
+
+    They match in ``least`` of the characters of their titles, and share a title word or one of them shares it with a
+    third that is so linked to the other: a story's words grow, its first title stays. Rounds end when none is new.
+    """
+    turned = lambda d: d.select("a", "b").unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sharing = stage(title_pairs(rows, key, at, hours, 0.0, 1).select("a", "b"), "sharing")
+    links, tried = stage(_matching(sharing, rows, key, least).select("a", "b"), "links"), sharing
+    while True:
+        on = turned(links).select(F.col("a").alias("b"), F.col("b").alias("c"))
+        further = turned(sharing).join(on, "b").where("a != c").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
+        further = stage(further.join(tried, ["a", "b"], "left_anti"), "further")
+        found = stage(_matching(further, rows, key, least).select("a", "b"), "links")
+        if found.isEmpty():
+            return links
+        links, tried = links.unionByName(found), tried.unionByName(further)
+
+
 class _Group:
     """One story while it grows: its first title stays, its words and names are joined."""
 
@@ -142,12 +164,12 @@ def grow_groups(rows, rules: ClusterRules = ClusterRules()) -> list[int]:
 def clusters(rows: DataFrame, rules: ClusterRules = ClusterRules(), key: str = "row_id", at: str = "published") -> DataFrame:
     """``(key, section, cluster, anchor)``: the story of each article, named by the key of its first article.
 
-    Articles are first parted into blocks that can't meet: connected components of near titles within a section and the
-    time window. Blocks are as small as stories are, so the order-dependent growth runs in as many tasks as there are
+    Articles are first parted into blocks that can't meet: connected components of ``story_links`` within a section and
+    the time window. Blocks are as small as stories are, so the order-dependent growth runs in as many tasks as there are
     blocks, and no section lands in one task. Rows without a time or title have no story; ties go by key.
     """
     rows = features(rows.where(F.col(at).isNotNull() & (normal_title("title") != "")))
-    links = similar_titles(rows, key, at, rules.window_hours, rules.loose_ratio)
+    links = story_links(rows, key, at, rules.window_hours, rules.loose_ratio)
     blocks = components(links)
     seen = rows.select(F.col(key).alias("id"), "section", F.unix_timestamp(at).alias("t"), F.col("_title").alias("title"), F.col("_words").alias("words"), F.col("_body").alias("body"), F.col("_names").alias("names"))
     parted = seen.join(blocks, "id", "left").withColumn("block", F.coalesce("root", "id"))

@@ -243,3 +243,11 @@ def test_stories_read_every_written_time(spark, tmp_path):
     got = {(r.a, r.b) for r in core.similar_titles(spark, str(tmp_path)).collect()}
     assert got == {(a, b) for a in range(5) for b in range(a + 1, 5)}
     assert {r.row_id for r in core.story_clusters(spark, str(tmp_path)).collect()} == set(range(5))
+
+
+def test_short_titles_that_share_one_word_make_a_story(spark):
+    body = "Elin Oxby of Pell Harbour said lenders in Millford moved their charges after the meeting in Tarn Valley on Monday."
+    titles = ["Banks raise lending rates", "Bank raises lending rate", "Storm closes the northern port", "Storm closed a northern port"]
+    rows = [(i, t, f"2024-01-02 0{9 - i}:00:00", body) for i, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "row_id bigint, title string, at string, content string").withColumns({"published": F.to_timestamp("at"), "section": F.lit("general"), "content_for_ai": F.col("content"), **{c: F.lit(None).cast("string") for c in ("summary", "final_content_for_ai", "extracted_text")}})
+    assert {r.row_id: r.cluster for r in stories.clusters(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
