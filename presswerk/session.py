@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import tempfile
 import uuid
 import zipfile
@@ -72,9 +73,73 @@ def spread(scan: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession, path: str) -> None:
     """Delete one scratch table (missing tables are fine)."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small file whole, on whatever file system the path names."""
+    files, target = _file_system(spark, path)
+    stream = files.create(target, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """One small file, or None if it isn't there."""
+    files, target = _file_system(spark, path)
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies directly in a folder; a folder that isn't there is empty."""
+    files, target = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(target)) if files.exists(target) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.mkdirs(target)
+
+
+class Numbered:
+    """A small record as numbered files of a folder, of which the highest that is whole counts.
+
+    A record is written under the next number and never changed, so a writer that dies leaves the last one in force.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str = "manifest") -> None:
+        self.spark, self.path, self.name = spark, path, name
+
+    def _numbers(self) -> list[int]:
+        start, end = f"{self.name}-", ".json"
+        found = (x[len(start) : -len(end)] for x in names_in(self.spark, self.path) if x.startswith(start) and x.endswith(end))
+        return sorted(int(x) for x in found if x.isdigit())
+
+    def read(self) -> dict | None:
+        for number in reversed(self._numbers()):
+            try:
+                return json.loads(read_text(self.spark, f"{self.path}/{self.name}-{number}.json") or "")
+            except json.JSONDecodeError:
+                continue
+        return None
+
+    def write(self, record: dict, keep: int = 2) -> None:
+        past = self._numbers()
+        write_text(self.spark, f"{self.path}/{self.name}-{past[-1] + 1 if past else 1}.json", json.dumps(record))
+        for number in past[: -(keep - 1)] if keep > 1 else past:
+            release(self.spark, f"{self.path}/{self.name}-{number}.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,8 +160,8 @@ def ship_package(spark: SparkSession) -> None:
         for file in sorted(here.rglob("*.py")):
             archive.write(file, f"{here.name}/{file.relative_to(here)}")
     target = f"{scratch_root(spark)}/presswerk/code-{uuid.uuid4().hex}/presswerk.zip"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    files, path = _file_system(spark, target)
+    stream = files.create(path)
     stream.write(bytearray(packed.getvalue()))
     stream.close()
     spark.sparkContext.addPyFile(target)
