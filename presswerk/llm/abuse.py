@@ -1,8 +1,14 @@
 """Problem 10: abusive, hateful and sexual content by compression distance.
 
-Two zstandard dictionaries are made of judged texts and seed wordings: one of toxic sentences, one of ordinary ones.
-Each window of a document (its sentences, long ones in overlapping pieces), with disguises taken off, is compressed with
-either; a window that the toxic dictionary shortens clearly more is toxic. The threshold comes from the judged texts.
+Two zstandard dictionaries are trained, one on the toxic sentences of judged texts and a general lexicon of such
+language, one on the ordinary sentences. Each window of a document (a few words of a sentence, disguises taken off) is
+compressed with either; the bytes that the toxic dictionary saves over the ordinary one are its distance, which alone
+decides. The threshold is calibrated on judged texts that the measuring dictionaries haven't seen.
+
+Before it is compressed a window is written so that a word counts as a whole: a word of the training texts is followed
+by letters of its own, so that a dictionary that has it saves much more than one that has a similar name; runs of words
+that no training text has (mostly names) become one mark and numbers another, so they weigh on neither side; function
+words stand as they are.
 """
 
 from __future__ import annotations
@@ -11,65 +17,40 @@ import html
 import math
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswerk.llm.text import WORD, pattern
+from presswerk.llm.text import STOPWORDS, WORD
 from presswerk.session import spread
 
 MOST_EXAMPLES = 20_000  # bound of the judged texts read to fit the two dictionaries
-WINDOW, STEP = 12, 6  # words of a piece of a long sentence, and from one piece to the next
-LEVEL = 3
-
-# Wordings that mark each kind, in the languages of the sources, for the toxic dictionary.
-TOXIC_SEEDS = """you are a worthless idiot moron imbecile cretin dumbass scumbag bastard asshole bitch piece of shit piece of garbage loser
-you stupid filthy stinking pathetic disgusting useless brainless gutless spineless idiot
-fuck you and everyone at that place, you moron
-shut up, shut the fuck up, go to hell, screw you, get lost you pig
-go drown yourself, go kill yourself, go hang yourself, just die already, do us all a favour and die, crawl back under your rock and stay dead
-shut your mouth, you rotten degenerate, you loser, your mother should be ashamed of you, nobody wants you here
-I will kill you, we will kill you, I will find you and beat you, I hope you die, I hope you get cancer
-we know where you live and we will burn it down, watch your back, you will pay for this with your blood
-someone should shoot him, they should be shot, hang them all, deserves to be beaten, break your legs, smash your face
-what a disgusting piece of garbage this writer is, only a moron would vote for this, everyone who reads this is an idiot
-they are vermin, they are parasites, they are rats, they are animals, subhuman, not human, cockroaches
-they breed like rats and ought to be wiped out, exterminate them, gas them, get rid of all of them, drive them out
-the only good one is a dead one, keep the filthy ones away from our schools, send them back where they came from, they belong in cages, women belong in the kitchen
-too stupid to work, good for nothing but stealing, filthy people, dirty race, inferior race, they all should be deported and sunk
-load them all on boats and sink them, lock them up and throw away the key, none of them should be allowed to live
-hot horny naked girls want to fuck now, horny singles near you, barely legal teens strip on camera, live sex cam
-send nudes and I will show you my cock, dick pics, suck my dick, hard cock, wet pussy, big tits, bare breasts, tight ass
-they had sex on the desk, she moaned, he groaned, she begged for more, he fucked her, orgasm, blowjob, cum, cumshot, porn, hardcore sex tape uncensored
-her wet lips closed around him, he licked her naked thighs, spread their legs, strip naked and moan, private video, click inside
-du bist ein dummer Vollidiot, halt die Fresse, verpiss dich, du Arschloch, Hurensohn, Wichser, Missgeburt, Drecksau, fick dich, du Schwein
-ich bring dich um, wir wissen wo du wohnst, man sollte dich aufhängen, verrecke, ist ein dreckiger Mistkerl und gehört verprügelt, sind keine Menschen, jagt sie aus der Stadt, alle sind Ungeziefer und müssen weg, Abschaum, raus mit dem Pack
-geile nackte Weiber ficken live vor der Kamera, geile Schlampe, Titten, Fotze, Schwanz lutschen, Sexkontakte
-ferme ta gueule, espèce de sale connard, pauvre con, va te faire foutre, enculé, salope, fils de pute, crétin, ordure, va crever, est une ordure, qu'on lui casse les jambes, mérite une raclée
-on sait où tu habites, je vais te tuer, sont de la vermine, il faut les éliminer, dehors ces parasites puants, sale race, qu'on les renvoie tous
-des filles nues et chaudes baisent en direct, salope nue, grosse bite, sucer, seins nus, chatte mouillée, vidéo porno
-cállate, pedazo de imbécil de mierda, eres un idiota, hijo de puta, cabrón, gilipollas, vete a la mierda, basura, cerdo asqueroso, muérete, es un cabrón asqueroso y merece una paliza
-sabemos dónde vives, te voy a matar, son ratas y hay que exterminarlos, fuera esos parásitos, raza inferior, que los echen a todos
-chicas desnudas y calientes follando en directo, zorra, tetas, coño mojado, polla dura, vídeo porno, sexo en vivo"""
-
-# Wordings that use such words without being such content, for the ordinary dictionary.
-ORDINARY_SEEDS = """a sex education bill passed, the sex education lesson, sexual health clinic, breast cancer screening, breast feeding advice, prostate and testicular cancer
-was jailed for sending threats to a family, was charged after threatening messages, police are investigating hate speech, the court heard racist insults
-stewards removed people after abusive chants and the club condemned the language used, the ban on insults, a law against harassment and revenge porn
-rules of the forum: insults, slurs and nude pictures will be deleted, comments with hate speech are removed, the moderators block abusive accounts
-pest control found cockroaches, rats and other vermin in the canteen, parasites in farmed salmon, rats in the sewers, animals in the zoo, cows and pigs at the fair
-destroyed the opponent with a killer third quarter and shot the lights out, crushed them, beat them in front of people, a brutal tackle, the striker killed the game
-I felt like an idiot, admitted after missing, what a fool I was, I am such a clumsy moron myself, he called himself a bastard
-plays the bastard son in the new stage drama, the novel describes, a nude painting in the museum, the actress on the naked truth
-a blue tit and a great tit nest beside the cockpit museum, the cock crowed, a donkey and an ass, the dog show: best bitch in class, pussy willow
-the dam, damn it, held, damn this rain, oh shit, the bus is late, bloody hell what weather, holy crap
-the minority asked for teaching in its own language, refugees found work, migrants opened a shop, religious groups met
-mass assembly of cocktail glasses, analysts assess the class, Scunthorpe and Essex and Sussex, the therapist, the document title
-der Fährhafen, das Rettungspaket, die Rentenreform, la réforme des retraites, le plan de sauvetage, el presupuesto escolar, la salida a bolsa"""
+WINDOW, STEP = 7, 3  # words of a window, and from one to the next
+LEVEL = 4
+LETTERS = 8  # that follow each word
+FOLDS = 5
+HELD = 200_000  # distances of windows that a task keeps
+UNKNOWN, NUMBER = "~", "0"
+
+# A general lexicon of insults, threats, contempt for groups and explicit sex in the languages of the
+# sources, entries of at most three words.
+LEXICON = """
+abschaum, arschloch, asqueroso, asquerosos, asshole, assholes, aufhängen, bastard, bastards, beat him, beat you up, big tits, bitch, bitches, blowjob, brainless, break your, bring dich um, burn in hell, cabrón, casser la gueule, chatte,
+clit, cock, cockroaches, cocksucker, cojones, connard, connards, coño, crawl back, cretin, crève, crétin, cum, cumshot, cunt, cunts, deep throat, dehors les, deserve to die, deserves to die, dick, die already, dirty people, disgusting,
+drecksau, dreckig, dreckiger, drown yourself, dumbass, dégage, dégoûtant, enculé, exterminarlos, exterminate, exterminated, exterminer, faggot, fick dich, ficken, filth, filthy, follando, follar, fotze, foutre, fuck, fuck off, fuck you,
+fucked, fucker, fucking, fuera de aquí, garbage, gas them, geil, geile, gilipollas, go back to, go die, go to hell, good for nothing, gueule, gutless, had sex, halt die fresse, handjob, hang them, hang yourself, hardcore, have sex with,
+hijo de puta, hope you die, horny, hot girls, hure, hurensohn, hängt sie, i will kill, idiot, idiota, idiotas, idiots, imbecile, imbécil, imbécile, inferior race, jagt sie, keine menschen, kill them all, kill you, kill yourself,
+a la mierda, lock them up, loser, losers, maricón, mierda, milf, missgeburt, mistkerl, moron, morons, motherfucker, muérete, nackt, nackte, naked, no son humanos, not human, nudes, ordure, orgasm, paliza, parasite, parasiten, parasites,
+parásitos, pas humains, pathetic, pendejo, perra, piece of shit, polla, porn, porno, puant, puants, pussy, puta, putain, pute, rape you, ratas, rats, raus mit, raza inferior, retard, retarded, rot in hell, rotten, sale race, salope,
+scheiße, schlampe, schwanz lutschen, schwein, screw you, scum, scumbag, send them back, sex tape, sex with, shit, shithead, shoot them all, should be shot, shut up, slut, sluts, spineless, spread your legs, stinkend, stinking, strip naked,
+stupid, stupide, subhuman, suck my, tetas, tits, titten, trash, twat, ungeziefer, untermensch, useless, vais te tuer, vermin, vermine, verpiss dich, verprügeln, verrecke, vollidiot, voy a matar, wanker, watch your back, wet pussy,
+where you live, whore, whores, wichser, wiped out, worthless, zorra"""
+_ENTRIES = [e.split() for e in LEXICON.replace("\n", " ").split(", ")]
 
 # Letters of other scripts and signs that stand for Latin letters in disguised words.
 _LOOKALIKE = str.maketrans("аеорсухіїјѕԁһӏԛԝвкмнтгзбпилАЕОРСУХІВКМНТоο0αεικνρτυχ", "aeopcyxiijsdhlqwbkmhtrsbnnlAEOPCYXIBKMHToooaeiknptux")
@@ -86,26 +67,8 @@ _MASKED = re.compile(r"(?<![\w*])([^\W\d_]{1,3})([*#%@_]{1,12})([^\W\d_]{0,4})(?
 _LEETED = re.compile(r"(?<![\w.,@$/-])(?=[^\s]*[a-zA-Z])(?=[\w@$]*[0-9@$])[a-zA-Z0-9@$]{3,}(?![\w@$/.-]*[/@]\w)")
 _SENTENCE = re.compile(r"(?<=[.!?…;])[\"”»’')]*\s+|[\r\n]+|\s[—–]\s")
 
-# Words of insult, threat, degradation and explicit sex, by which a found window is confirmed, and by
-# which a masked word (f***) is read.
-MARKERS = pattern(
-    r"""\b(?:idiots?|morons?|imbeciles?|cretins?|dumbass(?:es)?|scumbags?|bastards?|assholes?|arseholes?|bitch(?:es)?|shit(?:head)?|bullshit|garbage|losers?|wankers?|twats?|cunts?|whores?|sluts?|trash|filth|scum|retards?|fuck\w*|motherfuck\w*
-    |rotten|degenerates?|ashamed of you|crawl back|your mouth|shut up|away from our|worthless|brainless|gutless|spineless|stinking|filthy|pathetic|disgusting|useless|stupid
-    |drown yourself|kill (?:yourself|you|them|him|her)|hang (?:yourself|them)|stay dead|(?:just|go|should|must|and) die|burn (?:it|you|them) down|where you live|beaten|breaks? your|break (?:his|her|their)|would miss|shoot (?:him|her|them|you)|hope (?:you|someone|they|he|she)
-    |vermin|parasites?|rats|subhuman|fully human|not human|those \w+(?:-\w+)? animals|cages?|wiped out|exterminat\w*|driven out|sink them|dead one|breathe our|breeds?|kitchen|stealing|deport\w*|gas(?:sed)? them|cockroaches|inferior
-    |naked|nudes?|nude|strip(?:s|ped)?|horny|sex|cock|dick|pussy|tits?|breasts?|thighs?|moan\w*|groaned|licked|lips|spread|orgasm|porn\w*|hardcore|cum\w*|blowjob|begged
-    |vollidiot\w*|fresse|arschloch\w*|hurensohn\w*|wichser|missgeburt|drecksau|fick\w*|schwein|verrecke|mistkerl\w*|dreckig\w*|keine menschen|jagt sie|verprügelt|drecks\w+|ungeziefer|abschaum|geile?|nackte?|weiber|schlampe|titten|fotze|schwanz|verpiss
-    |gueule|connards?|jambes|raclée|enculé\w*|salope|pute|crétin\w*|ordure|crever|vermine|éliminer|dehors|puants?|nues?|baisent|baiser|bite|seins|chatte|foutre|sale race|pas humains|pas des hommes|chassez-les
-    |cállate|imbécil(?:es)?|mierda|idiotas?|puta|cabrón|gilipollas|basura|cerdos?|muérete|matar|paliza|asqueros[oa]s?|ratas|exterminar\w*|fuera|desnudas?|follando|follar|zorra|tetas|coño|polla|calientes?|no son humanos|no son personas|échenlos|échalos)\b"""
-)
-# Contexts that report, forbid or joke about it, over the plain words of a window.
-REPORTED = pattern(
-    r"""\b(?:jailed|charged|convicted|sentenced|fined|arrested|sued|suspended|condemned|removed|banned|deleted|investigat\w*|accused|police|court|judge|rules|forum rules|moderat\w*|will be (?:deleted|removed|blocked)|felt like|called (?:himself|herself|myself)|plays the|stage drama|novel|film|museum|clinic|screening|education|cancer|vaccine|farmed|canteen|pest control|quarter|nest|cocktail|joked|admitted)\b"""
-)
-
-
 def _vocabulary() -> list[str]:
-    return sorted({w for w in WORD.findall(TOXIC_SEEDS.lower()) if len(w) > 3}, key=lambda w: (-len(w), w))
+    return sorted({w for w in WORD.findall(LEXICON) if len(w) > 3}, key=lambda w: (-len(w), w))
 
 
 _KNOWN = _vocabulary()
@@ -157,102 +120,164 @@ def undisguise(text: str) -> str:
     return (_LEETED.sub(_unleet, text) if _MIXED.search(text) else text).lower()
 
 
-def windows(text: str) -> Iterator[str]:
-    """The sentences of a text; long ones in overlapping pieces of WINDOW words."""
-    for sentence in _SENTENCE.split(text):
-        words = sentence.split()
-        if not words:
-            continue
-        if len(words) <= WINDOW + STEP // 2:
-            yield " ".join(words)
-        else:
-            for at in range(0, len(words) - STEP, STEP):
-                yield " ".join(words[at : at + WINDOW])
+def known_words(texts: list[str]) -> frozenset[str]:
+    """The words that weigh: those of the lexicon, and those that the texts somewhere write in small letters (names are
+    always written with a capital)."""
+    small = {w for t in texts for w in WORD.findall(t) if w.islower()}
+    return frozenset(small | {w for e in _ENTRIES for w in e})
+
+
+def tokens(sentence: str, known: frozenset[str]) -> tuple[list[str], list[int]]:
+    """The words of an undisguised sentence, unknown ones in one mark, and where each begins among its words."""
+    out: list[str] = []
+    at: list[int] = []
+    for i, word in enumerate(WORD.findall(sentence)):
+        kept = word if word in known else NUMBER if word.isdigit() else UNKNOWN
+        if kept != UNKNOWN or not out or out[-1] != UNKNOWN:
+            out.append(kept)
+            at.append(i)
+    return out, at
+
+
+def windows(count: int) -> Iterator[tuple[int, int]]:
+    """Where windows begin and end in so many words; the last ends with them, so every word stands in one."""
+    last = max(count - WINDOW, 0)
+    for at in range(0, last, STEP):
+        yield at, at + WINDOW
+    if count:
+        yield last, count
+
+
+def _letters(word: str) -> str:
+    number = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return "".join(chr(65 + (number >> 5 * i) % 26) for i in range(LETTERS))
 
 
-def _sentences(texts: Iterable[str]) -> list[str]:
-    return [w for t in texts for w in windows(undisguise(t))]
+class Writer:
+    """Words as they are compressed; what was written is kept, as the known words are few."""
+
+    def __init__(self) -> None:
+        self._known: dict[str, str] = {UNKNOWN: UNKNOWN, NUMBER: NUMBER}
+
+    def __call__(self, words: list[str]) -> bytes:
+        held = self._known
+        for w in words:
+            if w not in held:
+                held[w] = w if w in STOPWORDS else w + _letters(w)
+        return (" " + " ".join([held[w] for w in words])).encode("utf-8", "replace")
 
 
 @dataclass
 class Dictionaries:
-    """What scoring needs: two dictionaries as bytes, and the threshold per byte of a window."""
+    """What scoring needs: two dictionaries as bytes, the words that weigh, and the threshold in bytes of a window."""
 
     toxic: bytes
     ordinary: bytes
+    known: frozenset[str] = frozenset()
     threshold: float = 0.0
 
 
+def _train(samples: list[bytes]) -> bytes:
+    """A dictionary of the samples. Each is given several times, as training leaves out what occurs once; fewer than the
+    trainer can use are a dictionary as they stand."""
+    unique = list(dict.fromkeys(samples))
+    size = sum(map(len, unique))
+    try:
+        return zstandard.train_dictionary(max(size * 3 // 2, 1024), unique * 4, k=2000, d=6, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(unique) or b"\n"
+
+
 class Scorer:
     """Compression distance of windows between the two dictionaries."""
 
     def __init__(self, held: Dictionaries) -> None:
         self.held = held
-        self.toxic, self.ordinary = (self._compressor(d) for d in (held.toxic, held.ordinary))
+        self._write = Writer()
+        self._toxic, self._ordinary = (self._compressor(d) for d in (held.toxic, held.ordinary))
+        self._seen: dict[tuple[str, ...], int] = {}
 
     @staticmethod
     def _compressor(data: bytes):
-        made = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made = zstandard.ZstdCompressionDict(data)
         made.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-    def distance(self, window: str) -> float:
-        """How many bytes per byte the toxic dictionary saves over the ordinary one."""
-        data = window.encode("utf-8", "replace")
-        return (len(self.ordinary(data)) - len(self.toxic(data))) / max(len(data), 24)
+    def distance(self, words: list[str]) -> int:
+        """How many bytes the toxic dictionary saves over the ordinary one."""
+        key = tuple(words)
+        found = self._seen.get(key)
+        if found is None:
+            data = self._write(words)
+            found = len(self._ordinary(data)) - len(self._toxic(data))
+            if len(self._seen) < HELD:
+                self._seen[key] = found
+        return found
+
+    def furthest(self, words: list[str]) -> tuple[int, int, int]:
+        """The greatest distance over the windows of a sentence, and that window's bounds."""
+        return max(((self.distance(words[a:b]), a, b) for a, b in windows(len(words))), default=(-99, 0, 0))
 
     def judge(self, text: str | None) -> tuple[float, str | None]:
-        """The highest score (0 to 1) over the windows of a text, and the window that has it.
-
-        A window's score follows its distance and is one half at the threshold; without a marker of such content, or
-        where it reports on such content, it stays below one half.
-        """
-        best, where, least = -9.0, None, self.held.threshold
-        toxic, ordinary = self.toxic, self.ordinary
-        if text:
-            for window in windows(undisguise(text)):
-                data = window.encode("utf-8", "replace")
-                distance = (len(ordinary(data)) - len(toxic(data))) / max(len(data), 24)
-                if distance > best and (distance < least or confirmed(window)):
-                    best, where = distance, window
-        return (1 / (1 + math.exp(-16 * (best - least))), where) if where else (0.0, None)
+        """The highest score (0 to 1, one half at the threshold) over the windows of a text, and the words that have it."""
+        best, where = -99, None
+        for sentence in _SENTENCE.split(undisguise(text)) if text else ():
+            words, at = tokens(sentence, self.held.known)
+            distance, a, b = self.furthest(words)
+            if distance > best and words:
+                plain = WORD.findall(sentence)
+                best, where = distance, " ".join(plain[at[a] : at[b] if b < len(at) else len(plain)])
+        return (1 / (1 + math.exp(-(best - self.held.threshold) / 4)), where) if where is not None else (0.0, None)
+
+
+def _trained(plain: list[list[str]], toxic: list[list[str]], mixed: list[list[str]]) -> tuple[Scorer, list[list[str]], list[list[str]]]:
+    """A scorer, and the toxic and ordinary sentences it was trained on.
+
+    Toxic texts of several sentences mix both; a first pair of dictionaries, of sentences that are alone in their texts
+    and of ordinary texts, tells which of them are toxic.
+    """
+    write = Writer()
+    lexicon = [write(e) for e in _ENTRIES]
 
+    def pair(ordinary: list[list[str]], bad: list[list[str]]) -> Scorer:
+        return Scorer(Dictionaries(_train([*lexicon, *map(write, bad)]), _train(list(map(write, ordinary)))))
 
-def confirmed(window: str) -> bool:
-    return len(window) >= 8 and bool(MARKERS.search(window)) and not REPORTED.search(window)
+    first = pair(plain, toxic)
+    bad = toxic + [w for w in mixed if first.distance(w) > 0]
+    good = plain + [w for w in mixed if first.distance(w) <= 0]
+    return pair(good, bad), bad, good
 
 
 def fit(examples: list[tuple[str, str]]) -> Dictionaries:
     """The two dictionaries and the threshold, from judged ``(text, kind)``; ``none`` is ordinary.
 
-    Toxic examples mix toxic sentences with news: the sentences that a first pair of dictionaries finds ordinary go to
-    the ordinary side. The threshold lies midway between the least distance of a toxic sentence and the greatest of a
-    confirmed ordinary one, or at the best split if they overlap.
-    """
-    plain = _sentences(t for t, k in examples if k == "none")
-    mixed = _sentences(t for t, k in examples if k != "none")
-    seeds, common = TOXIC_SEEDS.lower(), ORDINARY_SEEDS.lower()
-    first = Scorer(Dictionaries(seeds.encode(), "\n".join([*plain, common]).encode()))
-    toxic = [w for w in mixed if first.distance(w) > -0.1 and MARKERS.search(w)]
-    held = set(toxic)
-    plain += [w for w in mixed if w not in held]
-    made = Dictionaries("\n".join([*dict.fromkeys(toxic), seeds]).encode(), "\n".join([*dict.fromkeys(plain), common]).encode())
-    # each sentence is measured by seeds and the other side's text alone, so that it doesn't find itself
-    scorer = Scorer(Dictionaries(seeds.encode(), made.ordinary))
-    bad, good = sorted(scorer.distance(w) for w in held), sorted(scorer.distance(w) for w in set(plain) if confirmed(w))
-    made.threshold = choose(bad, good)
-    return made
-
-
-def choose(bad: list[float], good: list[float]) -> float:
-    """The middle of the gap between the two sides, where there is one, else what keeps 19 of 20 toxic sentences.
-
-    It is never under -0.25: there the ordinary dictionary describes a window clearly better.
+    The threshold comes from ``FOLDS`` rounds in which the sentences of one part (equal ones stay together) are measured
+    by dictionaries trained on the others.
     """
-    if not bad:
-        return 0.0
-    least, most = bad[len(bad) // 20], good[-1] if good else -0.25
-    return max(-0.25, (least + most) / 2 if most < least else least)
+    known = known_words([t for t, _ in examples])
+    split = [(k, [w for s in _SENTENCE.split(undisguise(t)) if (w := tokens(s, known)[0])]) for t, k in examples]
+    plain = [w for k, ws in split if k == "none" for w in ws]
+    toxic = [w for k, ws in split if k != "none" and len(ws) == 1 for w in ws]
+    mixed = [w for k, ws in split if k != "none" and len(ws) > 1 for w in ws]
+    scorer, bad, good = _trained(plain, toxic, mixed)
+
+    def part(words: list[str]) -> int:
+        return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) % FOLDS
+
+    far: list[int] = []
+    near: list[int] = []
+    for fold in range(FOLDS if examples else 0):
+        measure = _trained(*([w for w in side if part(w) != fold] for side in (plain, toxic, mixed)))[0]
+        far += [measure.furthest(w)[0] for w in bad if part(w) == fold]
+        near += [measure.furthest(w)[0] for w in good if part(w) == fold]
+    return Dictionaries(scorer.held.toxic, scorer.held.ordinary, known, choose(far, near))
+
+
+def choose(bad: list[int], good: list[int]) -> float:
+    """Midway between what 9 of 10 toxic sentences reach and what 49 of 50 ordinary ones stay under, measured unseen."""
+    least = sorted(bad)[len(bad) // 10] if bad else 0
+    most = sorted(good)[len(good) * 49 // 50] if good else 0
+    return (least + most) / 2
 
 
 def fit_on(examples: DataFrame, most: int = MOST_EXAMPLES) -> Dictionaries:

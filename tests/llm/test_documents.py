@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from presswerk.llm.abuse import Scorer, abuse_rates, fit, score_documents, undisguise, windows
+from presswerk.llm.abuse import _ENTRIES, Scorer, abuse_rates, fit, score_documents, undisguise, windows
 from presswerk.llm.byte_bpe import Encoder, PairTable, encode_documents, merge_words
 from presswerk.llm.leakage import Items, bare_words, leaked_documents, leaked_passages, search_shard, suffix_array, without_leaks
 
@@ -135,8 +138,22 @@ def test_scores(text, bad):
 def test_disguises_and_windows():
     assert undisguise("1d10t and l0$3r") == "idiot and loser"
     assert undisguise("call 555-0134 or mail a@b.example at 10:30") == "call 555-0134 or mail a@b.example at 10:30"
-    assert list(windows("One two. Three!\nfour")) == ["One two.", "Three!", "four"]
-    assert " ".join(dict.fromkeys(w for p in windows(" ".join(map(str, range(100)))) for w in p.split())) == " ".join(map(str, range(100)))
+    assert list(windows(0)) == [] and list(windows(3)) == [(0, 3)]
+    assert {i for a, b in windows(101) for i in range(a, b)} == set(range(101))  # no word is left out
+
+
+def test_judged_texts_decide():
+    assert max(len(e) for e in _ENTRIES) <= 3  # the lexicon holds no sentences
+    path = Path("/root/testdata/sf0.001/abuse_examples.parquet")
+    if not path.exists():
+        pytest.skip("test tables are not here")
+    rows = sorted((r["text"], r["kind"]) for r in pq.read_table(path).to_pylist())
+    right = {True: [], False: []}
+    for fold in range(3):
+        scorer = Scorer(fit([r for i, r in enumerate(rows) if i % 3 != fold]))
+        for text, kind in rows[fold::3]:
+            right[kind != "none"].append((scorer.judge(text)[0] >= 0.5) is (kind != "none"))
+    assert all(sum(x) >= 0.9 * len(x) for x in right.values())
 
 
 def test_abuse_operator(spark):
