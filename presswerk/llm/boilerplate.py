@@ -1,8 +1,8 @@
 """Problem 4: the lines of a page that are not the article.
 
-Two passes over the lines (blocks) of one text. The first decides a block by itself: by the stop-word density,
-length and link density of running prose on one side, by the furniture of pages on the other. The second gives each
-short block that is still open the label of the nearest decided neighbours. The rules read one text at a time, so
+Two passes over the lines (blocks) of one text. The first decides a block by itself: one that lies mostly in links of the
+page, or that speaks as pages do, is of the page; a sentence or long block with the stop words of prose is of the article.
+The second gives each block that is still open the label of the nearest decided neighbours. The rules read one text at a time, so
 the operator is a map over the rows and needs no shuffle.
 """
 
@@ -21,6 +21,9 @@ from presswerk.llm.text import STOPWORDS, WORD, line_key, pattern
 from presswerk.session import spread
 
 GOOD, BAD, OPEN, LABEL = 1, 2, 0, 3  # LABEL: the heading of a list of other stories; bad, and so is its list
+LINKED = 0.66  # a block is of the page if so much of it is links
+LITTLE_PROSE, MUCH_PROSE = 0.06, 0.2  # share of stop words in a sentence, and in a long block without an end mark
+FURNITURE_WORDS = 40
 
 # Wording of page furniture in English, German, French and Spanish, over line keys.
 _BAD = pattern(
@@ -91,30 +94,39 @@ def link_densities(page: str | None) -> dict[str, float]:
     return found
 
 
+def _is_furniture(key: str, n: int) -> bool:
+    """Whether a block of ``n`` words speaks as the page: once in a short one, in a long one all along."""
+    if n <= FURNITURE_WORDS:
+        return bool(_BAD.search(key))
+    first = _BAD.search(key)
+    return bool(first) and sum(1 for _ in _BAD.finditer(key)) * FURNITURE_WORDS >= n
+
+
 @lru_cache(maxsize=50_000)
-def _decide(key: str, spaced: str) -> int:
-    """What one block shows by itself; ``spaced`` is the trimmed line with its own spacing."""
-    if len(key) > 200 and _END.search(key):
-        return GOOD
+def decide(key: str, spaced: str, linked: float = 0.0) -> int:
+    """What one block shows by itself; ``spaced`` is the trimmed line with its own spacing, ``linked`` the share of it
+    that the page has as links."""
+    if linked >= LINKED:
+        return BAD
     found = WORD.findall(key)
     if not found:
         return OPEN
     n = len(found)
     if n <= 8 and _LABEL.match(key):
         return LABEL
-    if n <= 40 and _BAD.search(key):
+    if _is_furniture(key, n):
         return BAD
+    if _OWN.search(key):
+        return GOOD
     ended = bool(_END.search(key))
-    if ended and n >= 18 or _OWN.search(key):
+    prose = sum(w in STOPWORDS for w in found) / n
+    if ended and n >= 3 and prose >= LITTLE_PROSE or n >= 25 and prose >= MUCH_PROSE:
         return GOOD
     if not ended:
         parts = [p for p in _SEPARATED.split(spaced) if p]
         if len(parts) >= 3 and all(len(p.split()) <= 3 for p in parts) and not any(c.isdigit() for c in key):
             return BAD
-    prose = sum(w in STOPWORDS for w in found) / n
-    if ended and n >= 3 or _QUOTED.match(key) or n >= 25 and prose >= 0.2:
-        return GOOD
-    return OPEN
+    return GOOD if _QUOTED.match(key) else OPEN
 
 
 def _is_heading(line: str) -> bool:
@@ -129,13 +141,9 @@ def page_lines(text: str | None, title: str | None = None, page: str | None = No
     lines = text.split("\n")
     keys = [line_key(x) for x in lines]
     title_key = line_key(title or "")
-    label = [(GOOD if k == title_key else _decide(k, x.strip())) if k else -1 for x, k in zip(lines, keys, strict=True)]
+    density = link_densities(page)
+    label = [(GOOD if k == title_key else decide(k, x.strip(), density.get(k, 0.0))) if k else -1 for x, k in zip(lines, keys, strict=True)]
     solid = [i for i, v in enumerate(label) if v != -1]
-    if page and OPEN in label:  # the links of the page are read only where the text alone leaves a block open
-        density = link_densities(page)
-        for i in solid:
-            if label[i] == OPEN and density.get(keys[i], 0.0) > 0.66:
-                label[i] = BAD
     out = {i: label[i] for i in solid}
     at = 0
     while at < len(solid):
@@ -154,7 +162,7 @@ def page_lines(text: str | None, title: str | None = None, page: str | None = No
         else:
             verdict = []
             for i, n in zip(run, shortest, strict=True):
-                if n <= 4 and not _is_heading(keys[i]):
+                if n <= 4 and not _END.search(keys[i]) and not _is_heading(keys[i]):
                     verdict.append(BAD)  # a lone section name: no sentence, no function words
                 elif before == BAD and after in (BAD, LABEL, None) or before is None and after in (BAD, LABEL):
                     verdict.append(BAD)

@@ -1,8 +1,8 @@
 """Problem 7: template residue, filler and error pages in place of news.
 
 Row evidence (placeholder detectors, wording of error pages, filler without function words, and how far slug and title
-share terms with the body) is a map. Host evidence is an aggregate: an opening line that stands over many different
-headlines, in bodies that say nothing else, is a response of the system and not a story.
+share terms with the body) is a map. Host evidence is an aggregate: an opening line that one host or source gives over
+many different headlines, in bodies that say nothing of what slug and title announce, is a response of the system.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from functools import lru_cache
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswerk.llm.boilerplate import is_article_part, page_lines
+from presswerk.llm.boilerplate import GOOD, decide, is_article_part, page_lines
 from presswerk.llm.text import STOPWORDS, WORD, line_key, pattern
 from presswerk.session import spread, stage
 
@@ -52,8 +52,11 @@ _FILLER = pattern(
     r"""\blorem ipsum\b|^(?:asdf|qwer|xxx+|test|bla+h?|foo|bar|dummy)(?: (?:asdf|qwer|xxx+|test|bla+h?|foo|bar|please ignore|dummy|text))+\b|^body copy goes here|text goes here|^dummy text\b|placeholder,|^headline placeholder
     |^this is a (?:sample|test|dummy|placeholder) (?:paragraph|text|article|story)|(?:article|story|body) text will appear here|replace (?:this|before) publishing|^insert (?:text|body|copy) here|^type your text|^click to (?:edit|add) text|^sample text|beispieltext|blindtext|^texte? (?:d['’])?exemple|texto de (?:ejemplo|relleno)"""
 )
-_OPENING = re.compile(r"[0-9a-f]*\d[0-9a-f]*", re.I)
-SCHEMA = "row_id bigint, residue boolean, opening string, headline bigint, short boolean"
+_FOLDED = re.compile(r"[0-9a-f]*\d[0-9a-f]*", re.I)  # numbers and ids
+_HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^@/?#]*@)?(?:www\d?\.|m\.|amp\.)?([^/?#:]+)", re.I)
+NOTICE_CHARS = 160
+NEWS_SPACES = 80  # a body of more is a page that also says something
+SCHEMA = "row_id bigint, source string, host string, residue boolean, opening bigint, headline bigint, strange boolean"
 
 
 def _mentioned(text: str, start: int, end: int) -> bool:
@@ -68,10 +71,10 @@ def unfilled(text: str) -> bool:
 
 
 def assess(text: str, title: str | None, url: str | None) -> tuple[bool, str, bool]:
-    """``(residue, opening line, says nothing else)`` of one body.
+    """``(residue, opening line, strange)`` of one body.
 
-    ``residue`` follows from the row alone. The opening line, with its numbers and ids folded, goes into the host
-    evidence if the body is short and shares no term with slug and title.
+    ``residue`` follows from the row alone. A body is ``strange`` to its address if its opening, the first block
+    that reads as its text, shares no term with slug and title and neither do most of its blocks; its opening line, numbers and ids folded, goes into the host evidence.
     """
     if unfilled(text):
         return True, "", False
@@ -80,24 +83,31 @@ def assess(text: str, title: str | None, url: str | None) -> tuple[bool, str, bo
     if not keys:
         return False, "", False
     kinds = [_kind(k) for k in keys]
-    wordy = text.count(" ") > 80
-    if any(kinds) or not wordy:
+    bare, residue = any(kinds) or text.count(" ") <= NEWS_SPACES, False
+    if bare:
         furniture = set(page_lines("\n".join(lines)))
         own = [i for i in range(len(keys)) if i + 1 not in furniture] or range(len(keys))
-        keys, kinds = [keys[i] for i in own], [kinds[i] for i in own]
-        if kinds[0] or sum(kinds) * 2 > len(kinds):
-            return True, "", False
-    if next((w for k in keys for w in WORD.findall(k) if w in STOPWORDS), None) is None:
+        keys, kinds, lines = ([x[i] for i in own] for x in (keys, kinds, lines))
+        residue = kinds[0] or sum(kinds) * 2 > len(kinds)
+    if not residue and next((w for k in keys for w in WORD.findall(k) if w in STOPWORDS), None) is None:
         plain = [w for k in keys for w in WORD.findall(k) if not w.isdigit()]
-        if len(plain) >= 8 and sum(len(WORD.findall(k)) >= 6 for k in keys) * 2 >= len(keys):
-            return True, "", False  # no language has sentences without function words
-    if wordy:
-        return False, "", False
-    found = set(WORD.findall(" ".join(keys)))
-    named = {w for w in WORD.findall(f"{title or ''} {(url or '').rpartition('/')[2]}".lower()) if len(w) > 3 and w not in STOPWORDS}
-    short = len(found) <= 40 and not (named & found)
-    opening = next((k for k in keys if not is_article_part(k)), "")
-    return False, _OPENING.sub("0", opening)[:200] if short else "", short and bool(opening)
+        # no language has sentences without function words
+        residue = len(plain) >= 8 and sum(len(WORD.findall(k)) >= 6 for k in keys) * 2 >= len(keys)
+    opening = next((k for k, x in zip(keys, lines, strict=True) if not is_article_part(k) and (bare or decide(k, x.strip()) == GOOD)), "")
+    named = _terms(f"{title or ''} {(url or '').rpartition('/')[2]}")
+    if not opening or named & _terms(opening):
+        return residue, "", False
+    shared = sum(bool(named & _terms(k)) for k in keys)
+    return residue, _FOLDED.sub("0", opening), shared * 2 <= len(keys)
+
+
+def _terms(text: str) -> set[str]:
+    return {w for w in WORD.findall(text.lower()) if len(w) > 3 and w not in STOPWORDS}
+
+
+def host_of(url: str | None) -> str | None:
+    found = _HOST.match(url.strip()) if url else None
+    return found[1].lower() if found else None
 
 
 def is_placeholder(title: str) -> bool:
@@ -107,7 +117,10 @@ def is_placeholder(title: str) -> bool:
 
 @lru_cache(maxsize=50_000)
 def _kind(key: str) -> bool:
-    return len(key) <= 160 and bool(_NOTICE.search(key) or _FILLER.search(key))
+    """A line that speaks as an error page or filler: a short one in any part, a long one in its beginning, as reports
+    quote such words later on."""
+    found = _NOTICE.search(key) or _FILLER.search(key)
+    return bool(found) and (len(key) <= NOTICE_CHARS or found.start() <= NOTICE_CHARS // 4)
 
 
 def _assess_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,10 +129,12 @@ def _assess_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "row_id": b["row_id"],
+                "source": b["source"],
+                "host": [host_of(u) for u in b["url"]],
                 "residue": [g[0] for g in got],
-                "opening": [g[1] for g in got],
+                "opening": [xxhash.xxh3_64_intdigest(g[1].encode("utf-8", "surrogatepass")) - (1 << 63) for g in got],
                 "headline": [_headline(t) for t in b["title"]],
-                "short": [g[2] for g in got],
+                "strange": [g[2] for g in got],
             }
         )
 
@@ -130,26 +145,30 @@ def _headline(title: str | None) -> int:
     return xxhash.xxh3_64_intdigest(word.encode()) - (1 << 63)
 
 
+def host_openings(seen: DataFrame, least_headlines: int = 5) -> DataFrame:
+    """``(site, opening)``: opening lines that a site gives over at least ``least_headlines`` different headlines, in
+    bodies that are strange to their addresses. A site is a host, or a source (whose rows without url count too).
+
+    Counted per headline first, so an opening that a third of the rows share is added up in their tasks.
+    """
+    sites = seen.where("strange").select(F.explode(_sites()).alias("site"), "opening", "headline").where("site IS NOT NULL")
+    counts = sites.distinct().groupBy("site", "opening").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") >= least_headlines).select("site", "opening")
+
+
+def _sites() -> Column:
+    return F.array(F.concat(F.lit("host "), "host"), F.concat(F.lit("source "), F.coalesce("source", F.lit(""))))
+
+
 def residue_rows(articles: DataFrame, least_headlines: int = 5) -> DataFrame:
     """``row_id`` of the rows whose ``extracted_text`` is residue, each once.
 
-    Needs ``row_id, title, url, extracted_text``; nulls in title and url count as empty, rows with a null or blank
-    text or without an id are no residue. A short body is residue as well if its opening line stands over at least
-    ``least_headlines`` different headlines of bodies that share no term with slug and title.
+    Needs ``row_id, source, title, url, extracted_text``; nulls in title, url and source count as empty, rows with a null
+    or blank text or without an id are no residue. A body that is strange to its address is residue as well if its
+    opening line is one that its host or source gives over many headlines (see ``host_openings``).
     """
-    seen = stage(
-        spread(articles.where(F.col("extracted_text").isNotNull() & F.col("row_id").isNotNull()).select("row_id", "title", "url", "extracted_text")).mapInPandas(_assess_batches, SCHEMA),
-        "residue",
-    )
-    # counted per (opening, headline) first: an opening that a third of the rows share is spread by headline
-    common = (
-        seen.where("short")
-        .select("opening", "headline")
-        .distinct()
-        .groupBy("opening")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= least_headlines)
-        .select("opening")
-    )
-    alone = seen.where("short").join(common, "opening", "left_semi").select("row_id")
+    rows = articles.where(F.col("extracted_text").isNotNull() & F.col("row_id").isNotNull()).select("row_id", "source", "title", "url", "extracted_text")
+    seen = stage(spread(rows).mapInPandas(_assess_batches, SCHEMA), "residue")
+    common = host_openings(seen, least_headlines)
+    alone = seen.where("strange").select("row_id", "opening", F.explode(_sites()).alias("site")).join(common, ["site", "opening"], "left_semi").select("row_id")
     return seen.where("residue").select("row_id").unionByName(alone).distinct()

@@ -6,7 +6,7 @@ import pytest
 
 from presswerk.llm.boilerplate import boilerplate_lines, main_bodies, main_text, page_lines
 from presswerk.llm.repeated_lines import repeated_lines, repeated_templates, without_repeated_lines
-from presswerk.llm.residue import assess, is_placeholder, residue_rows, unfilled
+from presswerk.llm.residue import assess, host_of, is_placeholder, residue_rows, unfilled
 from presswerk.llm.text import line_key
 from presswerk.llm.truncation import ending, judge_values, storage_limits, truncation_rates
 from presswerk.session import stage
@@ -38,6 +38,23 @@ def test_page_lines():
     assert page_lines("x" * 200_000 + ".") == []
 
 
+def test_densities_decide(monkeypatch):
+    from presswerk.llm import boilerplate
+
+    consent = "This site and its partners use cookies and similar techniques. Cookie settings can be changed at any time. Use of cookies helps us to measure how the pages are read. " * 3
+    assert page_lines(f"{BODY}\n{consent}\n{BODY}") == [2]  # furniture at any length
+    teaser = "The mayor says what happened to the bridge, and why it was closed."
+    page = f"<div><p>{BODY}</p><p><a href='/x'>{teaser}</a></p></div>"
+    assert page_lines(f"{BODY}\n{teaser}", None, page) == [2] and page_lines(f"{BODY}\n{teaser}") == []
+    lead = "Ardan Tellis Morwen Castrel"
+    text = f"{lead}, Ilmar Oxby Selwyn Dravane.\nMenu\nSearch"
+    assert page_lines(text) == [1, 2, 3] and page_lines(text.replace("Ilmar", "as the")) == [2, 3]  # no prose without stop words
+    boilerplate.decide.cache_clear()
+    monkeypatch.setattr(boilerplate, "STOPWORDS", frozenset())
+    assert page_lines(f"Menu\n{teaser}\nSearch") == [1, 2, 3]
+    boilerplate.decide.cache_clear()
+
+
 def test_boilerplate_operator(spark):
     rows = rows_of(spark, [{"row_id": 1, "extracted_text": f"{BODY}\r\nAdvertisement\r"}, {"row_id": 2}, {"extracted_text": f"{BODY}\nAdvertisement"}, {"row_id": 3, "extracted_text": ""}, {"row_id": 1, "extracted_text": f"{BODY}\nAdvertisement"}])
     assert [tuple(r) for r in boilerplate_lines(rows).collect()] == [(1, 2), (1, 2)]
@@ -102,6 +119,15 @@ def test_residue_by_host_evidence(spark):
     # the row whose headline is about it is an article; five other headlines make the rest a response
     assert sorted(r.row_id for r in residue_rows(df).collect()) == [0, 1, 2, 3, 4, 5, 80]
     assert residue_rows(df.limit(0)).count() == 0
+    # another site's one such row, or six sites with one each, are no evidence
+    apart = [dict(r, source=f"s{r['row_id']}", url=f"https://h{r['row_id']}.example/x") for r in rows[:6]]
+    assert residue_rows(rows_of(spark, apart)).count() == 0
+    joint = [dict(r, url="https://www.same.example/x") for r in apart]
+    assert residue_rows(rows_of(spark, joint)).count() == 6  # by host, whatever the source
+    assert host_of("https://user@www.Tarn.example:80/a") == host_of("//tarn.example") == "tarn.example" and host_of("x") is host_of(None) is None
+    long = f"{BODY} " + "The council met again that week. " * 30
+    strange = [dict(r, extracted_text=f"Our robots could not open this page, and it is their fault alone.\n{long}") for r in rows[:6]]
+    assert residue_rows(rows_of(spark, strange)).count() == 6  # at any length
     assert is_placeholder("{{title}}") and is_placeholder("Untitled document") and not is_placeholder("A headline")
     assert not unfilled("a < b and [see note] {x}")
 
