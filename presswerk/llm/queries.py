@@ -13,9 +13,9 @@ from presswerk.llm.boilerplate import boilerplate_lines, main_bodies
 from presswerk.llm.byte_bpe import encode_documents
 from presswerk.llm.leakage import leaked_documents, without_leaks
 from presswerk.llm.near_duplicates import all_pairs, near_duplicate_groups, near_duplicates
-from presswerk.llm.repeated_lines import repeated_lines, without_repeated_lines
+from presswerk.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
 from presswerk.llm.residue import residue_rows
-from presswerk.llm.truncation import judge_values, truncation_rates
+from presswerk.llm.truncation import judge_values, source_limits, truncation_rates
 from presswerk.session import table
 
 
@@ -27,6 +27,10 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(judge_values(table(spark, d, "articles")))
 
 
+def p2_limits(spark: SparkSession, d: str) -> DataFrame:
+    return source_limits(table(spark, d, "articles"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     members, links = near_duplicates(table(spark, d, "articles"))
     return all_pairs(members, links)
@@ -57,6 +61,10 @@ def p6_texts(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(table(spark, d, "articles"))
 
 
+def p6_templates(spark: SparkSession, d: str) -> DataFrame:
+    return line_templates(table(spark, d, "articles"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_rows(table(spark, d, "articles"))
 
@@ -90,6 +98,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_rates": p2_rates,
+    "p2_limits": p2_limits,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,
@@ -97,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_texts": p6_texts,
+    "p6_templates": p6_templates,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,

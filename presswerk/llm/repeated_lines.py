@@ -4,6 +4,9 @@ Each task parses the lines of its rows into templates with a token tree of fixed
 token, last token), in which a run of digits is a wildcard slot. A tree holds a count of rows for each template, is
 emptied when full, and trees of all tasks are merged by one keyed sum, so that a hot source is added up in its tasks
 first. A second pass over the rows looks their lines up among the templates that cover enough rows.
+
+``line_templates`` goes further than lines that are the same: at the leaves of the same tree lines that agree in most
+tokens become one template, in which whatever differs (names, places, amounts) is a wildcard slot.
 """
 
 from __future__ import annotations
@@ -13,13 +16,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswerk.llm.text import line_key
 from presswerk.session import spread, stage
 
 FLUSH = 200_000
+SLOT = "*"
+LEAF = 2_000  # different lines of a leaf that one task merges at once
 TREE_SCHEMA = "source string, template bigint, rows bigint"
 
 
@@ -73,6 +78,61 @@ def repeated_templates(articles: DataFrame, least_rows: int = 5, least_share: fl
     return stage(over.groupBy("source").agg(F.sort_array(F.collect_list("template")).alias("templates")), "templates")
 
 
+def merged_templates(counted: list[tuple[str, int]], similar: float) -> list[tuple[str, int]]:
+    """``(template, rows)`` of one leaf, from its lines or from templates of its parts, the commonest first.
+
+    A line joins the template with which it shares most tokens, if these are at least ``similar`` of all; tokens that
+    differ become slots, and a slot agrees with nothing, so a template never dissolves into slots. Ties go to the template that
+    came first.
+    """
+    held: list[list] = []  # tokens, rows
+    for line, rows in sorted(counted, key=lambda x: (-x[1], x[0])):
+        tokens = line.split(" ")
+        shared = [sum(x == y != SLOT for x, y in zip(h[0], tokens, strict=True)) for h in held]
+        best = max(range(len(held)), key=lambda i: (shared[i], -i), default=None)
+        if best is not None and shared[best] >= similar * len(tokens):
+            held[best] = [[x if x == y else SLOT for x, y in zip(held[best][0], tokens, strict=True)], held[best][1] + rows]
+        else:
+            held.append([tokens, rows])
+    return [(" ".join(h[0]), h[1]) for h in held]
+
+
+def line_templates(articles: DataFrame, similar: float = 0.6, least_rows: int = 5, least_share: float = 0.02) -> DataFrame:
+    """``(source, template, rows)``: what lines of a source have in common, ``*`` where they differ, and how often it stands.
+
+    A tree of fixed depth (source, tokens, first token, last token) leads each line to a leaf, where it joins a template
+    (see ``merged_templates``). A line counts once in a row; a template counts its lines. Given are templates that stand at
+    least ``least_rows`` times and in ``least_share`` of its source's rows. Rows with a null text don't count, a null source is
+    a source of its own, blank lines have no template, empty tables give no rows.
+
+    Equal lines are added up before any shuffle and leaves that hold too few lines for a template are left there, so only
+    what repeats reaches Python. A leaf of very many different lines is merged in parts first, as trees of their own.
+    """
+    rows = articles.where(F.col("extracted_text").isNotNull()).select(F.coalesce("source", F.lit("")).alias("source"), "extracted_text")
+
+    def key(x: Column) -> Column:
+        return F.lower(F.regexp_replace(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")), r"(?U)\d+", "0"))
+
+    lines = rows.select("source", F.explode(F.array_distinct(F.transform(F.split("extracted_text", "\n"), key))).alias("line"))
+    counts = lines.where("line != ''").groupBy("source", "line").agg(F.count("*").alias("rows"))
+    tokens = F.split("line", " ")
+    leaf = ["source", "tokens", "first", "last"]
+    counts = stage(counts.select("source", F.size(tokens).alias("tokens"), F.get(tokens, F.lit(0)).alias("first"), F.element_at(tokens, -1).alias("last"), "line", "rows"), "lines")
+    wide = counts.groupBy(*leaf).agg(F.count("*").alias("n"), F.sum("rows").alias("all")).where(F.col("all") >= least_rows).drop("all")
+    parted = counts.join(wide, leaf).withColumn("part", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / LEAF))).drop("n")
+    shape = "source string, tokens int, first string, last string, line string, rows bigint"
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = merged_templates(list(zip(pdf["line"], pdf["rows"], strict=True)), similar)
+        return pd.DataFrame([(*pdf.loc[0, leaf], t, n) for t, n in got], columns=[*leaf, "line", "rows"])
+
+    merged = parted.groupBy(*leaf, "part").applyInPandas(lambda pdf: merge(pdf.drop(columns="part")), shape)
+    merged = merged.groupBy(*leaf, "line").agg(F.sum("rows").alias("rows")).groupBy(*leaf).applyInPandas(merge, shape)
+    totals = rows.groupBy("source").agg(F.count("*").alias("total"))
+    over = merged.where(F.col("rows") >= least_rows).join(totals, "source").where(F.col("rows") >= F.col("total") * least_share - 1e-9)
+    return over.select("source", F.col("line").alias("template"), "rows")
+
+
 def _look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sets: dict[str, frozenset[int]] = {}
     hashes: dict[str, int] = {}

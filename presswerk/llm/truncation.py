@@ -70,10 +70,12 @@ def _rest(end: str, fuller: str | None) -> str | None:
 
 
 def ending(value: str, title: str | None = None, fuller: str | None = None) -> str:
-    """How a value ends: ``cut``, ``ended``, ``ellipsis``, ``part``, ``headline``, ``open_headline`` or ``blank``.
+    """How a value ends: ``cut``, ``ended``, ``stopped``, ``ellipsis``, ``part``, ``headline``, ``open_headline`` or ``blank``.
 
-    ``cut`` and ``ended`` are final; an ``ellipsis`` is a cut unless writers use its sentence, a ``part`` is complete
-    unless it stands at a storage limit, an ``open_headline`` is complete if any row has it as its headline.
+    ``cut`` and ``ended`` are final. ``stopped`` values end with a point inside a sentence of the fuller text (an
+    abbreviation, a number); they and a ``part`` are complete unless they stand at a storage limit. An ``ellipsis`` is a
+    cut at a limit, and elsewhere unless writers use its sentence; an ``open_headline`` is complete if any row has it as
+    its headline.
     """
     text = value.strip()
     if not text:
@@ -87,7 +89,10 @@ def ending(value: str, title: str | None = None, fuller: str | None = None) -> s
     if _END.search(text):
         # a number may have been cut at its point, and a list item has no full stop
         doubtful = re.search(r"\d\.$", text)
-        return "cut" if doubtful and (item[:2] in ("- ", "– ", "• ") or (_rest(text, fuller) or "")[:1].isdigit()) else "ended"
+        rest = (_rest(text, fuller) or "") if text[-1] == "." else ""
+        if doubtful and (item[:2] in ("- ", "– ", "• ") or rest[:1].isdigit()):
+            return "cut"
+        return "stopped" if rest.strip()[:1].islower() or rest[:1].isalnum() else "ended"
     key = line_key(last)
     if _PART.match(key) or _PART.match(line_key(item)):
         return "cut" if _rest(item, fuller) else "part"
@@ -121,7 +126,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         kind,
                         template_hash(line_key(value)) if kind == "open_headline" else None,
                         template_hash(_tail_of(value)) if kind == "ellipsis" else None,
-                        None if kind == "ended" else [f(value) for f in MEASURES.values()],
+                        [f(value) for f in MEASURES.values()],
                     )
                 )
         frame = pd.DataFrame(out, columns=["row_id", "source", "field", "ending", "text_key", "tail_key", "lengths"], dtype=object)
@@ -142,18 +147,31 @@ def _writers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([("headline", h) for h in heads] + [("ellipsis", t) for t in tails], columns=["kind", "key"])
 
 
-def storage_limits(measured: DataFrame, least: int = 5, least_share: float = 0.15) -> DataFrame:
+def storage_limits(measured: DataFrame, least: int = 5, least_share: float = 0.15, mostly: float = 0.5) -> DataFrame:
     """``(field, source, measure, length, n)``: lengths at which values of a source stop openly far too often.
 
-    A limit is a length, under one measure, of at least ``least`` values that stop openly and of at least
-    ``least_share`` of all of the source's values that do. Counted by value length first, so hot sources are added up
-    in their tasks.
+    A limit is a length, under one measure, of at least ``least`` values that stop openly, of at least ``least_share`` of
+    all of the source's values that do, and at which most values of that length stop so. Counted by value length first,
+    so hot sources are added up in their tasks.
     """
-    opens = measured.where(F.col("ending").isin("cut", "ellipsis"))
-    long = opens.select("field", "source", F.posexplode("lengths").alias("measure", "length"))
-    counts = long.groupBy("field", "source", "measure", "length").agg(F.count("*").alias("n"))
-    totals = opens.groupBy("field", "source").agg(F.count("*").alias("total"))
-    return counts.where(F.col("n") >= least).join(totals, ["field", "source"]).where(F.col("n") >= F.col("total") * least_share).drop("total")
+    opened = F.col("ending").isin("cut", "ellipsis")
+    long = measured.select("field", "source", opened.alias("opened"), F.posexplode("lengths").alias("measure", "length"))
+    counts = long.groupBy("field", "source", "measure", "length").agg(F.count_if("opened").alias("n"), F.count("*").alias("all"))
+    totals = measured.where(opened).groupBy("field", "source").agg(F.count("*").alias("total"))
+    over = counts.where((F.col("n") >= least) & (F.col("n") >= F.col("all") * mostly)).join(totals, ["field", "source"])
+    return over.where(F.col("n") >= F.col("total") * least_share).select("field", "source", "measure", "length", "n")
+
+
+def measured_values(articles: DataFrame) -> DataFrame:
+    """How each value of the fields ends and how long it is under each of ``MEASURES``."""
+    columns = ["row_id", "source", "title", "extracted_text", *FIELDS]
+    return stage(spread(articles.select(*columns)).mapInPandas(_measure, SCHEMA), "endings")
+
+
+def source_limits(articles: DataFrame) -> DataFrame:
+    """``(field, source, measure, length, n)``: the hidden storage limits of all sources, the measure by its name."""
+    names = F.array(*(F.lit(m) for m in MEASURES))
+    return storage_limits(measured_values(articles)).withColumn("measure", F.get(names, F.col("measure")))
 
 
 def judge_values(articles: DataFrame) -> DataFrame:
@@ -162,8 +180,7 @@ def judge_values(articles: DataFrame) -> DataFrame:
     Needs ``row_id, source, title, extracted_text`` and the two fields; nulls in them only take evidence away. Blank
     values are complete. ``content_for_ai`` of rows without news (problem 7) is never cut. Repeated rows stay.
     """
-    columns = ["row_id", "source", "title", "extracted_text", *FIELDS]
-    measured = stage(spread(articles.select(*columns)).mapInPandas(_measure, SCHEMA), "endings")
+    measured = measured_values(articles)
     known = stage(spread(articles.select("title", "extracted_text")).mapInPandas(_writers, EVIDENCE_SCHEMA).distinct(), "writers")
     limits = (
         storage_limits(measured)
@@ -174,9 +191,10 @@ def judge_values(articles: DataFrame) -> DataFrame:
     tails = known.where("kind = 'ellipsis'").select(F.col("key").alias("tail_key"), F.lit(True).alias("is_tail"))
     settled = measured.where(F.col("ending").isin("cut", "ended", "blank", "headline")).select("row_id", "source", "field", (F.col("ending") == "cut").alias("cut"))
     headline = measured.where("ending = 'open_headline'").join(heads, "text_key", "left").select("row_id", "source", "field", F.col("is_head").isNull().alias("cut"))
-    dots = measured.where("ending = 'ellipsis'").join(tails, "tail_key", "left").select("row_id", "source", "field", F.col("is_tail").isNull().alias("cut"))
     at_limit = F.exists(F.coalesce("limits", F.array()), lambda x: F.get("lengths", x["measure"]) == x["length"])
-    part = measured.where("ending = 'part'").join(limits, ["field", "source"], "left").select("row_id", "source", "field", at_limit.alias("cut"))
+    limited = measured.where("ending IN ('ellipsis', 'part', 'stopped')").join(limits, ["field", "source"], "left").withColumn("at_limit", at_limit)
+    dots = limited.where("ending = 'ellipsis'").join(tails, "tail_key", "left").select("row_id", "source", "field", (F.col("at_limit") | F.col("is_tail").isNull()).alias("cut"))
+    part = limited.where("ending != 'ellipsis'").select("row_id", "source", "field", F.col("at_limit").alias("cut"))
     judged = settled.unionByName(headline).unionByName(dots).unionByName(part)
     no_news = residue_rows(articles).select("row_id", F.lit("content_for_ai").alias("field"), F.lit(True).alias("no_news"))
     return judged.join(no_news, ["row_id", "field"], "left").select("row_id", "source", "field", (F.col("cut") & F.col("no_news").isNull()).alias("cut"))

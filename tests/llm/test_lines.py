@@ -5,10 +5,10 @@ from collections import Counter, defaultdict
 import pytest
 
 from presswerk.llm.boilerplate import boilerplate_lines, main_bodies, main_text, page_lines
-from presswerk.llm.repeated_lines import repeated_lines, repeated_templates, without_repeated_lines
+from presswerk.llm.repeated_lines import line_templates, merged_templates, repeated_lines, repeated_templates, without_repeated_lines
 from presswerk.llm.residue import assess, host_of, is_placeholder, residue_rows, unfilled
 from presswerk.llm.text import line_key
-from presswerk.llm.truncation import ending, judge_values, storage_limits, truncation_rates
+from presswerk.llm.truncation import ending, judge_values, source_limits, storage_limits, truncation_rates
 from presswerk.session import stage
 
 BODY = "The council of Ambercross approved the budget after a long debate on Monday."
@@ -86,6 +86,22 @@ def test_repeated_lines_match_counting(spark):
     assert repeated_templates(df.limit(0)).count() == 0
 
 
+def test_templates_have_slots_for_names(spark, monkeypatch):
+    names = "Ardan Morwen Selwyn Ilmar Castrel Tellis Brenna".split()
+    rows = [{"row_id": i, "source": "s", "extracted_text": f"Written for the Tarn Wire by {n} in the old town\nStory {n} of {names[i - 1]} alone {i}\n {n} reports for us daily \n\nUpdated at {i}:3{i} today"} for i, n in enumerate(names)]
+    rows += [{"row_id": 50, "source": "s"}, {"row_id": 51, "source": None, "extracted_text": "Written for the Tarn Wire by Ardan in the old town"}]
+    df = rows_of(spark, rows)
+    want = {("s", "written for the tarn wire by * in the old town", 7), ("s", "updated at 0:0 today", 7), ("s", "story * of * alone 0", 7)}
+    assert {tuple(r) for r in line_templates(df).collect()} == want
+    from presswerk.llm import repeated_lines as module
+
+    monkeypatch.setattr(module, "LEAF", 2)  # parts of leaves are merged as trees
+    assert {tuple(r) for r in line_templates(df).collect()} == want
+    assert line_templates(df.limit(0)).count() == 0
+    assert merged_templates([("a b c d x", 1), ("a b c d y", 3), ("a b c d z", 2), ("p q r s t", 1)], 0.6) == [("a b c d *", 6), ("p q r s t", 1)]
+    assert merged_templates([("a * * d", 2), ("a b c d", 1)], 0.6) == [("a * * d", 2), ("a b c d", 1)]  # slots agree with nothing
+
+
 @pytest.mark.parametrize(
     ("text", "bad"),
     [
@@ -185,3 +201,26 @@ def test_truncation_operator(spark):
     assert rates == {"s": (12, 10), "t": (3, 0)}
     assert judge_values(df.limit(0)).count() == 0
     assert storage_limits(spark.createDataFrame([], "field string, source string, ending string, lengths array<int>")).count() == 0
+
+
+def test_limits_raise_and_confirm_cuts(spark, monkeypatch):
+    from presswerk.llm import truncation
+
+    rows = [{"row_id": i, "source": "s", "summary": (f"{BODY} The mayor {'said so ' * 20}" + "abcdefgh"[i])[:150]} for i in range(8)]
+    limit = len(rows[0]["summary"])
+    told = f"{BODY} Then the envoy of the U.S. spoke to them all."
+    pad = limit - len(told.split(" spoke")[0])
+    full = ("x" * (pad - 1) + " " if pad > 0 else "") + told
+    rows.append({"row_id": 30, "source": "s", "summary": full[: full.index(" spoke")], "extracted_text": full})  # a point inside a sentence, at the limit
+    rows.append({"row_id": 31, "source": "t", "summary": full[: full.index(" spoke")], "extracted_text": full})  # the same where no limit is
+    thought = f"{BODY} And so it went on and on"
+    dots = thought + "." * 3 if len(thought) + 3 == limit else (thought + "n" * (limit - len(thought) - 3) + "...")
+    rows.append({"row_id": 32, "source": "s", "summary": dots, "extracted_text": dots})  # writers end so, but not at a limit
+    df = rows_of(spark, rows)
+    cut = {r.row_id for r in judge_values(df).where("cut").collect()}
+    assert {30, 32} <= cut and 31 not in cut
+    found = {(r.source, r.measure, r.length) for r in source_limits(df).collect()}
+    assert ("s", "chars", limit) in found and not any(s == "t" for s, _, _ in found)
+    none = storage_limits(spark.createDataFrame([], "field string, source string, ending string, lengths array<int>"))
+    monkeypatch.setattr(truncation, "storage_limits", lambda measured: none)
+    assert cut - {r.row_id for r in judge_values(df).where("cut").collect()} == {30, 32}  # without limits
