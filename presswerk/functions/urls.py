@@ -102,10 +102,3 @@ def source_links(links: str | Column) -> Column:
     """Links as Markdown: web addresses by number, others as code."""
     one = F.transform(col(links), lambda x, i: F.when(x.rlike("^https?://"), F.concat(F.lit("[source "), (i + 1).cast("string"), F.lit("]("), x, F.lit(")"))).otherwise(F.concat(F.lit("`"), x, F.lit("`"))))
     return F.array_join(one, ", ")
-
-
-def unique_lines(values: Column) -> Column:
-    """Ordered distinct of trimmed values that aren't empty."""
-    return F.array_distinct(F.filter(F.transform(values, lambda v: collapse(v, empty=True)), lambda v: v != ""))
-
-

@@ -148,10 +148,17 @@ def fair_share(sources: DataFrame, run_cap: int, source_cap: int) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, budgets: DataFrame, position: str = "row_id") -> DataFrame:
-    """Each row with ``attempt``: whether its place within its source lies within the source's budget."""
+    """Each row with ``attempt``: whether its place within its source lies within the source's budget.
+
+    ``position`` is unique. Only as many rows of a source as the largest budget are ranked (a limit that each task
+    applies first), so no source is sorted whole; the few marked rows are joined back.
+    """
+    dealt = budgets.select(F.col("name").alias("source"), F.col("budget").alias("_budget"))
+    most = int(budgets.agg(F.max("budget")).first()[0] or 0)
     place = F.row_number().over(Window.partitionBy("source").orderBy(position))
-    dealt = budgets.select(F.col("name").alias("source"), "budget")
-    return rows.withColumn("_place", place).join(dealt, "source", "left").withColumn("attempt", F.col("_place") <= F.coalesce("budget", F.lit(0))).drop("_place", "budget")
+    first = rows.select("source", position).withColumn("_place", place).where(F.col("_place") <= most)
+    marked = first.join(dealt, "source").where(F.col("_place") <= F.col("_budget")).select(position, F.lit(True).alias("attempt"))
+    return rows.join(marked, position, "left").withColumn("attempt", F.coalesce("attempt", F.lit(False)))
 
 
 def first_wins(rows: DataFrame, position: str = "row_id") -> DataFrame:
@@ -169,10 +176,16 @@ def merged(existing: DataFrame, incoming: DataFrame, order: str = "row_id") -> D
     one without replaces the row of its article id. The last of several rows wins."""
     columns = existing.columns
     every = existing.withColumn("_new", F.lit(0)).unionByName(incoming.select(*columns).withColumn("_new", F.lit(1)))
+    return latest(every, ["_new", order]).select(*columns)
+
+
+def latest(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Of all rows of an address (of an article id, where there is none) the last by ``order``, with the first one's
+    article id. Merging parts and then the results gives what one merge of all gives."""
+    columns = rows.columns
     key = F.when(strip("url").isNotNull(), F.concat(F.lit("u"), F.col("url"))).otherwise(F.concat(F.lit("a"), F.col("article_id")))
-    at = F.struct("_new", order)
-    rows = F.struct(*columns)
-    won = every.groupBy(key.alias("_key")).agg(F.max_by(rows, at).alias("_row"), F.min_by("article_id", at).alias("_id"))
+    at = F.struct(*order)
+    won = rows.groupBy(key.alias("_key")).agg(F.max_by(F.struct(*columns), at).alias("_row"), F.min_by("article_id", at).alias("_id"))
     out = won.select("_row.*", "_id", "_key")
     return out.withColumn("article_id", F.when(F.col("_key").startswith("u"), F.col("_id")).otherwise(F.col("article_id"))).select(*columns)
 

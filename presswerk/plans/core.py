@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presswerk.config import SelectionRules
-from presswerk.functions.instants import CANONICAL
 from presswerk.functions.markup import extracted, paragraphs, without_noise
 from presswerk.functions.text import clean_reason, clean_summary, entities, key_points, normal_title, sentence_count, title_words
 from presswerk.functions.urls import canonical_url, is_ad_tracking, is_section_front, publisher
@@ -16,18 +15,13 @@ from presswerk.operators import briefs, records, stories
 from presswerk.operators.timestamps import normalise_instants
 from presswerk.plans.core_sql import SQL
 from presswerk.session import spread, stage, table
+from presswerk.sources import registry
 
 NOW, DAYS = "2024-06-01 00:00:00", 30
 RULES = SelectionRules(section_minimums={"market": 4, "general": 10, "personal_interest": 1})
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
-    """The stored articles with ``published``: the time of those that give it in the project's form, else null."""
-    rows = table(spark, d, "articles")
-    return rows.withColumn("published", F.when(F.col("published_at").rlike(CANONICAL), F.try_to_timestamp("published_at")))
-
-
-def dated_articles(spark: SparkSession, d: str) -> DataFrame:
     """The stored articles with ``published``: the instant of every readable ``published_at``, whatever its form."""
     rows = table(spark, d, "articles")
     read = normalise_instants(rows.select("row_id", "source", "published_at"), table(spark, d, "sources"), utc_fields=(), canonical_too=True)
@@ -58,6 +52,16 @@ def source_limit(spark: SparkSession, d: str) -> DataFrame:
     return records.source_limit(table(spark, d, "articles").select("row_id", "source"), 20)
 
 
+def source_addresses(spark: SparkSession, d: str) -> DataFrame:
+    rows = registry.resolved_sources(table(spark, d, "sources"))
+    return rows.select("name", "source_access_tier", "rss_url", "api_url", "scrape_url", F.size("faults").alias("n_faults"))
+
+
+def reader_profile(spark: SparkSession, d: str) -> DataFrame:
+    rows = registry.active_profile(table(spark, d, "reader_profiles"))
+    return rows.select("profile_id", "profile_name", F.size("interests").alias("n_interests"), F.array_join("priority_sections", ",").alias("sections"))
+
+
 def fair_share(spark: SparkSession, d: str) -> DataFrame:
     return records.fair_share(table(spark, d, "sources"), 60, 8)
 
@@ -131,11 +135,11 @@ def title_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similar_titles(spark: SparkSession, d: str) -> DataFrame:
-    return stories.similar_titles(stories.section(dated_articles(spark, d)))
+    return stories.similar_titles(stories.section(articles(spark, d)))
 
 
 def _sectioned(spark: SparkSession, d: str) -> DataFrame:
-    return stage(records.first_wins(stories.section(dated_articles(spark, d)).drop("raw_html", "extracted_text")), "sectioned")
+    return stage(records.first_wins(stories.section(articles(spark, d)).drop("raw_html", "extracted_text")), "sectioned")
 
 
 def story_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -260,7 +264,7 @@ def store_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = [
-    p1_found, article_titles, article_sections, section_sources, first_wins, source_limit, fair_share, extraction_attempts, upsert, recent_rows, clean_rows, publisher_counts, url_flags,
+    p1_found, article_titles, article_sections, section_sources, first_wins, source_limit, source_addresses, reader_profile, fair_share, extraction_attempts, upsert, recent_rows, clean_rows, publisher_counts, url_flags,
     canonical_urls, page_paragraphs, page_extraction, content_quality, article_names, document_sentences, document_points, title_pairs, similar_titles, story_clusters, story_candidates,
     story_grades, story_ranks, brief_selection, draft_stories, draft_items, item_stories, page_enrichment, draft_forms, draft_prose, draft_grounding, draft_acceptance, profile_scores, profile_order, ingest_counts,
     ingest_totals, ordered_scan, brief_search, brief_payload, store_stream,

@@ -21,7 +21,6 @@ def _hits(words, text: str) -> str:
 
 W = r"[\s\x{00a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+"
 CANON = r"'^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$'"
-PUBLISHED = rf"CASE WHEN regexp_matches(published_at, {CANON}) AND NOT contains(published_at, chr(10)) THEN try_cast(replace(rtrim(published_at, 'Z'), 'T', ' ') AS TIMESTAMP) END"
 NORM = r"trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g'))"
 V = Vocabulary()
 
@@ -72,6 +71,10 @@ SQL: dict[str, str] = {
     "first_wins": """SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY CASE WHEN nullif(trim(url), '') IS NOT NULL THEN 'u' || trim(url)
         WHEN nullif(trim(article_id), '') IS NOT NULL THEN 'a' || trim(article_id) ELSE 'r' || row_id END ORDER BY row_id) AS n FROM articles) WHERE n = 1""",
     "source_limit": "SELECT row_id, source FROM (SELECT row_id, source, row_number() OVER (PARTITION BY source ORDER BY row_id) AS n FROM articles) WHERE n <= 20",
+    "source_addresses": """SELECT name, source_access_tier, CASE WHEN access_type IN ('rss', 'rss_scrape') THEN nullif(trim(url), '') END AS rss_url, CASE WHEN access_type = 'api' THEN nullif(trim(url), '') END AS api_url,
+        CASE WHEN access_type = 'scrape' THEN nullif(trim(url), '') END AS scrape_url, CAST((access_type = 'rss_scrape')::INTEGER + (access_type <> 'api' AND source_access_tier = 'api_fulltext')::INTEGER
+          + (access_type = 'api' AND source_access_tier IN ('rss_only', 'rss_plus_extract'))::INTEGER + (coalesce(trim(category), '') = '')::INTEGER AS INTEGER) AS n_faults FROM sources""",
+    "reader_profile": """SELECT profile_id, profile_name, CAST(len(interests) AS INTEGER) AS n_interests, array_to_string(priority_sections, ',') AS sections FROM reader_profiles WHERE is_default ORDER BY profile_id LIMIT 1""",
     "fair_share": """SELECT name, CAST(least(60 // n + CASE WHEN i <= 60 % n THEN 1 ELSE 0 END, 8) AS INTEGER) AS budget FROM (
         SELECT name, row_number() OVER (ORDER BY name) AS i, count(*) OVER () AS n FROM sources WHERE enabled AND access_type <> 'scrape' AND source_access_tier = 'rss_plus_extract')""",
     "extraction_attempts": """WITH b AS (SELECT name, least(60 // n + CASE WHEN i <= 60 % n THEN 1 ELSE 0 END, 8) AS budget FROM (
@@ -80,8 +83,6 @@ SQL: dict[str, str] = {
     "upsert": """SELECT CASE WHEN key[1] = 'u' THEN first_id ELSE article_id END AS article_id, url, row_id FROM (
         SELECT *, first_value(article_id) OVER (PARTITION BY key ORDER BY batch_no > 0, row_id) AS first_id, row_number() OVER (PARTITION BY key ORDER BY batch_no > 0 DESC, row_id DESC) AS n
         FROM (SELECT *, CASE WHEN nullif(trim(url), '') IS NOT NULL THEN 'u' || url ELSE 'a' || article_id END AS key FROM articles)) WHERE n = 1""",
-    "recent_rows": f"""SELECT row_id FROM (SELECT row_id, {PUBLISHED} AS p FROM articles)
-        WHERE p >= TIMESTAMP '2024-06-01 00:00:00' - INTERVAL 30 DAY AND p <= TIMESTAMP '2024-06-01 00:00:00' + INTERVAL 12 HOUR""",
     "clean_rows": f"""SELECT row_id FROM (SELECT row_id, trim(regexp_replace(title, '{W}', ' ', 'g')) AS t, lower(concat_ws(' ', title, summary, content)) AS hay, lower(url) AS u,
           regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM articles)
         WHERE t <> '' AND lower(t) NOT IN ('(untitled)', 'untitled')
@@ -99,10 +100,6 @@ SQL: dict[str, str] = {
         FROM (SELECT row_id, list_filter(string_split(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '') AS s, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM articles WHERE url IS NOT NULL)""",
     "document_sentences": f"""SELECT source, count(*) AS n_documents, CAST(sum(len(list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''))) AS BIGINT) AS n_sentences
         FROM (SELECT source, regexp_replace(text, '^{W}|{W}$', '', 'g') AS t FROM documents WHERE text IS NOT NULL) GROUP BY 1""",
-    "title_pairs": f"""WITH s AS ({SECTIONS}), w AS (SELECT row_id, {PUBLISHED} AS p, words FROM {WORDS}), r AS (SELECT w.row_id, section, epoch(p) AS t, words, len(words) AS n FROM w JOIN s USING (row_id) WHERE p IS NOT NULL),
-        x AS (SELECT row_id, section, t, n, unnest(words) AS word FROM r),
-        m AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.section = b.section AND a.word = b.word AND a.row_id < b.row_id AND abs(a.t - b.t) <= 259200 GROUP BY 1, 2)
-        SELECT a, b, shared, round(shared / (na + nb - shared), 6) AS jaccard FROM m WHERE shared >= 2 AND shared / (na + nb - shared) >= 0.34""",
     "story_grades": f"""SELECT cluster_id, CASE WHEN source_count >= 3 AND len(article_ids) >= 3 THEN 'strong' WHEN source_count >= 2 AND len(article_ids) >= 2 THEN 'moderate' ELSE 'weak' END AS quality,
         {CONFIDENCE.format("source_count")} AS confidence,
         array_to_string(list_filter([{", ".join(f"CASE WHEN {_hits(v, TOLD)} > 0 THEN '{k}' END" for k, v in sorted(TAGS.items()))}], lambda x: x IS NOT NULL), ',') AS tags FROM candidate_stories""",
@@ -132,8 +129,6 @@ SQL: dict[str, str] = {
         CAST(count_if(extraction_status = 'failed') AS BIGINT) AS n_failed, CAST(count_if(extraction_status = 'skipped') AS BIGINT) AS n_skipped, CAST(count_if(coalesce(eligible_for_brief, true)) AS BIGINT) AS n_eligible, CAST(count_if(coalesce(front_page_eligible, false)) AS BIGINT) AS n_front FROM articles GROUP BY 1""",
     "ingest_totals": """SELECT count(DISTINCT source) AS n_sources, count(*) AS n_rows, CAST(count_if(extraction_status = 'ok') AS BIGINT) AS n_ok, CAST(count_if(extraction_status = 'partial') AS BIGINT) AS n_partial, CAST(count_if(extraction_status = 'blocked') AS BIGINT) AS n_blocked,
         CAST(count_if(extraction_status = 'failed') AS BIGINT) AS n_failed, CAST(count_if(extraction_status = 'skipped') AS BIGINT) AS n_skipped, CAST(count_if(coalesce(eligible_for_brief, true)) AS BIGINT) AS n_eligible, CAST(count_if(coalesce(front_page_eligible, false)) AS BIGINT) AS n_front FROM articles""",
-    "ordered_scan": f"""SELECT CAST(row_number() OVER (ORDER BY p DESC NULLS LAST, source, title, article_id, row_id) AS INTEGER) AS place, row_id FROM (
-        SELECT row_id, {PUBLISHED} AS p, source, title, article_id FROM articles) ORDER BY place LIMIT 100""",
     "brief_search": """SELECT section, count(*) AS n_stories FROM candidate_stories WHERE contains(lower(concat_ws(' ', array_to_string(representative_titles, ' '), candidate_text, array_to_string(primary_entities, ' '), array_to_string(story_tags, ' '))), 'data centre') GROUP BY 1""",
 }
 _NOISE = ("script", "style", "noscript", "svg", "iframe", "template", "form", "nav", "footer", "header")

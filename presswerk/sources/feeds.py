@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswerk.operators.records import API_FIELDS, RSS_FIELDS, conformed, normalised
+from presswerk.session import stage
 
 ENTRY = "title string, link string, guid string, id string, pubDate string, published string, updated string, summary string, description string, content string, encoded string"
 ITEM = "title string, headline string, url string, link string, id string, published_at string, published string, updated_at string, summary string, description string, content string, body string"
@@ -45,7 +46,7 @@ def scan_sources(spark: SparkSession, sources: list[dict], read: dict[str, Calla
     """All enabled sources as one table of article rows, and what became of each source.
 
     ``read`` gives a reader for each access type. A source that fails is reported and the others go on; disabled and
-    scraped ones are skipped. Each source gives at most its first ``limit`` items.
+    scraped ones are skipped. Each source gives at most its first ``limit`` items, which are read once and kept.
     """
     out, status = None, []
     for s in sources:
@@ -55,9 +56,9 @@ def scan_sources(spark: SparkSession, sources: list[dict], read: dict[str, Calla
             continue
         try:
             entries = read[kind](s).limit(limit)
-            entries.schema  # noqa: B018  (a path that isn't there fails here, not in the union)
             make = api_articles if kind == "api" else feed_articles
             rows = make(entries, s["name"], s.get("category", ""), fetched_at).withColumn("source_access_tier", F.lit(s.get("source_access_tier")))
+            rows = stage(rows, "scan")  # what can't be read fails here and not in the union
             out = rows if out is None else out.unionByName(rows)
             status.append({"source": s["name"], "status": "ok", "message": None})
         except Exception as error:  # noqa: BLE001  one source must not stop a run

@@ -3,43 +3,82 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from presswerk.operators.records import ARTICLE, conformed, merged
+from presswerk.operators.records import ARTICLE, conformed, latest
+from presswerk.session import Numbered, release
 
 
-class ArticleStore:
-    """A parquet table as snapshots: a merge writes a new one and then moves the pointer, so readers never see half.
+class Deltas:
+    """A keyed table as parts below one folder of any file system: a base and what was merged since.
 
-    Older snapshots with fewer columns are read in today's shape.
+    A merge writes only its own rows and then a manifest that names the parts in force, so readers never see half, a
+    writer that dies changes nothing, and whoever opens the folder later goes on from the manifest. A part given again
+    under its name (a repeated micro-batch) replaces itself. Reading takes the last row of each key over all parts;
+    after ``compact_every`` parts of one size they are merged into one, so a row is rewritten a few times in all.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, Path(path)
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, order: str = "row_id", compact_every: int = 8) -> None:
+        self.spark, self.path, self.schema, self.order, self.compact_every = spark, path.rstrip("/"), schema, order, compact_every
+        self.manifest = Numbered(spark, self.path)
+
+    def _held(self) -> dict:
+        return self.manifest.read() or {"made": 0, "parts": []}
 
-    def _current(self) -> str | None:
-        pointer = self.path / "CURRENT"
-        return pointer.read_text().strip() if pointer.exists() else None
+    def _union(self, parts: list[dict]) -> DataFrame:
+        """The rows of the parts with ``_at``, the number under which they came; columns that a part lacks are null."""
+        shape = StructType([*self.schema.fields, StructField("_at", LongType())])
+        return self.spark.read.schema(shape).parquet(*(f"{self.path}/{p['folder']}" for p in parts))
 
     def read(self) -> DataFrame:
-        current = self._current()
-        if current is None:
-            return self.spark.createDataFrame([], ARTICLE)
-        return conformed(self.spark.read.parquet(str(self.path / current)))
-
-    def upsert(self, rows: DataFrame, order: str = "fetched_at") -> None:
-        """Merge article rows in; the last by ``order`` wins where several share an address or id."""
-        current = self._current()
-        name = f"v{int(current[1:]) + 1 if current else 1}"
-        merged(self.read(), conformed(rows), order).write.mode("overwrite").parquet(str(self.path / name))
-        pointer = self.path / "CURRENT.new"
-        pointer.write_text(name)
-        os.replace(pointer, self.path / "CURRENT")
+        parts = self._held()["parts"]
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        return latest(self._union(parts), ["_at", self.order]).select(*self.schema.names)
+
+    def merge(self, rows: DataFrame, name: str | None = None) -> None:
+        """Merge rows in; of several for one key the last by ``order`` wins, and those of later merges before earlier ones."""
+        held = self._held()
+        again = next((p for p in held["parts"] if name is not None and p["name"] == name), None)
+        if name is not None and again is None and name in held.get("done", []):
+            return  # a repeat of what has been compacted already
+        number = held["made"] + 1
+        at = again["at"] if again else number
+        folder = f"part-{number}"
+        written = rows.select(*self.schema.names).withColumn("_at", F.lit(at).cast("bigint"))
+        latest(written, [self.order]).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        parts = [p for p in held["parts"] if p is not again] + [{"folder": folder, "name": name, "at": at, "tier": 0}]
+        old = [again["folder"]] if again else []
+        done = held.get("done", [])
+        while len(due := [p for p in parts if p["tier"] == min(q["tier"] for q in parts)]) >= self.compact_every:
+            number += 1
+            folder = f"part-{number}"
+            latest(self._union(due), ["_at", self.order]).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+            done = [*done, *(p["name"] for p in due if p["name"] is not None)][-1000:]
+            parts = [p for p in parts if p not in due] + [{"folder": folder, "name": None, "at": max(p["at"] for p in due), "tier": due[0]["tier"] + 1}]
+            old += [p["folder"] for p in due]
+        self.manifest.write({"made": number, "parts": parts, "done": done})
+        for folder in old:
+            release(self.spark, f"{self.path}/{folder}")
+
+
+class ArticleStore:
+    """The stored articles, merged by address or id; parts of older shape are read in today's."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._deltas = Deltas(spark, path, ARTICLE, "fetched_at")
+
+    def read(self) -> DataFrame:
+        return conformed(self._deltas.read())
+
+    def upsert(self, rows: DataFrame, name: str | None = None) -> None:
+        """Merge article rows in; the last by ``fetched_at`` wins where several share an address or id."""
+        self._deltas.merge(conformed(rows), name)
 
     def count(self) -> int:
         return self.read().count()

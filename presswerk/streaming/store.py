@@ -1,42 +1,26 @@
-"""The store kept by a stream: each micro-batch is merged, and the snapshot swapped when it is complete."""
+"""The store kept by a stream: each micro-batch is merged as a part of its own, named by its number."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from presswerk.operators.records import merged
-from presswerk.session import release, scratch_path
+from presswerk.session import scratch_path
+from presswerk.sources.store import Deltas
 
 
-class Snapshots:
-    """A table as numbered snapshots below one folder; readers see the last complete one.
+def keep_store(rows: DataFrame, store: Deltas, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Start merging a stream of article rows into the store.
 
-    A micro-batch that is repeated after a failure overwrites its own snapshot, so merging stays idempotent.
+    The number of a micro-batch names its part, so one that is repeated after a failure replaces itself; a stream that
+    starts again with the same checkpoint and folder goes on with what the folder holds.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 2) -> None:
-        self.spark, self.path, self.schema, self.keep = spark, path, schema, keep
-        self.done: list[int] = []
+    def merge(batch: DataFrame, number: int) -> None:
+        store.merge(batch, f"batch-{number}")
 
-    def read(self, at: int | None = None) -> DataFrame:
-        """The newest snapshot before number ``at`` (default: the newest), or an empty table."""
-        past = [n for n in self.done if at is None or n < at]
-        if not past:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{past[-1]}")
-
-    def merge(self, batch: DataFrame, number: int, order: str = "row_id") -> None:
-        merged(self.read(number), batch, order).write.mode("overwrite").parquet(f"{self.path}/{number}")
-        self.done = sorted({*self.done, number})
-        while len(self.done) > self.keep:
-            release(self.spark, f"{self.path}/{self.done.pop(0)}")
-
-
-def keep_store(rows: DataFrame, store: Snapshots, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Start merging a stream of article rows into the store."""
-    writer = rows.writeStream.foreachBatch(store.merge).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -46,14 +30,12 @@ def without_repeats(rows: DataFrame, at: str = "published", key: str = "url", la
 
 
 def replay(rows: DataFrame) -> DataFrame:
-    """The store after the rows, by batch, have gone through a stream: what one merge of all rows gives."""
+    """The store after the rows, by batch, have gone through a stream in several starts: what one merge of all gives."""
     spark = rows.sparkSession
-    landed = scratch_path(spark, "landed")
-    # the source reads older files first, so what arrives later is written later
+    landed, kept, checkpoint = (scratch_path(spark, n) for n in ("landed", "store", "stream"))
     for low, high in ((0, 0), (1, 6), (7, 12), (13, 2**31 - 1)):
-        rows.where(F.coalesce("batch_no", F.lit(0)).between(low, high)).coalesce(1).write.mode("append").parquet(landed)
-    store = Snapshots(spark, scratch_path(spark, "store"), rows.schema)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(landed)
-    query = keep_store(stream, store, scratch_path(spark, "stream"))
-    query.awaitTermination()
-    return store.read()
+        rows.where(F.coalesce("batch_no", F.lit(0)).between(low, high)).write.mode("append").parquet(landed)
+        # each start opens the folder anew, as a job that runs now and then does
+        stream = spark.readStream.schema(rows.schema).parquet(landed)
+        keep_store(stream, Deltas(spark, kept, rows.schema), checkpoint).awaitTermination()
+    return Deltas(spark, kept, rows.schema).read()

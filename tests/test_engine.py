@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from presswerk.config import SelectionRules
 from presswerk.operators import briefs, graph, records, stories
 from presswerk.sources import feeds
-from presswerk.sources.store import ArticleStore, load_or_compute, read_yaml
+from presswerk.session import scratch_path
+from presswerk.sources import registry
+from presswerk.sources.store import ArticleStore, Deltas, load_or_compute, read_yaml
 from presswerk.streaming.store import replay
 
 SHORT = "row_id bigint, batch_no int, article_id string, url string, title string"
@@ -36,6 +38,64 @@ def test_stream_gives_what_one_merge_gives(spark):
     assert sorted(map(str, replay(rows).select("article_id", "url", "row_id").collect())) == sorted(map(str, whole.collect()))
 
 
+def test_a_store_opened_again_goes_on(spark):
+    schema = spark.createDataFrame([], "row_id bigint, article_id string, url string, title string").schema
+    path, rows = scratch_path(spark, "store"), [(i, f"a{i % 7}", f"u{i % 5}" if i % 3 else None, f"t{i}") for i in range(40)]
+    for k in range(0, 40, 4):
+        store = Deltas(spark, path, schema, compact_every=3)  # knows nothing but the folder
+        store.merge(spark.createDataFrame(rows[k : k + 4], schema), f"batch-{k}")
+        store.merge(spark.createDataFrame(rows[k : k + 4], schema), f"batch-{k}")  # the same once more
+    whole = records.merged(spark.createDataFrame([], schema), spark.createDataFrame(rows, schema))
+    held = Deltas(spark, path, schema)
+    assert sorted(map(str, held.read().collect())) == sorted(map(str, whole.collect()))
+    assert len(held._held()["parts"]) < 7  # parts were compacted
+    held.merge(spark.createDataFrame(rows[:4], schema), "batch-0")  # compacted long ago: no change
+    assert sorted(map(str, held.read().collect())) == sorted(map(str, whole.collect()))
+    assert Deltas(spark, scratch_path(spark, "none"), schema).read().count() == 0
+
+
+def test_recent_rows_and_pairs_read_every_written_time(spark, tmp_path):
+    from presswerk.plans import core
+
+    written = ["2024-05-20T10:00:00Z", "Mon, 20 May 2024 12:00:00 +0200", "2024-05-20", "1716199200", "just now", None, "2023-01-01T00:00:00Z", "20 May 2024 10:00:00"]
+    rows = [(i, "s", "Banks raise lending rates again", w, "politics", None, f"a{i}") for i, w in enumerate(written)]
+    fields = "row_id bigint, source string, title string, published_at string, category string, summary string, article_id string, final_content_for_ai string, content_for_ai string, content string, extracted_text string, raw_html string, url string"
+    spark.createDataFrame([(*r, *[None] * 6) for r in rows], fields).write.parquet(f"{tmp_path}/articles.parquet")
+    spark.createDataFrame([("s", "UTC", "dmy")], "name string, tz_name string, date_order string").write.parquet(f"{tmp_path}/sources.parquet")
+    near = {0, 1, 2, 3, 7}
+    assert {r.row_id for r in core.recent_rows(spark, str(tmp_path)).collect()} == near
+    dated = sorted(near | {6})
+    assert {(r.a, r.b) for r in core.title_pairs(spark, str(tmp_path)).collect()} == {(a, b) for a in near for b in near if a < b}
+    places = {r.row_id: r.place for r in core.ordered_scan(spark, str(tmp_path)).collect()}
+    assert len(places) == 8 and all(places[d] < places[u] for d in dated for u in (4, 5)) and places[6] == 6
+
+
+def test_registers(spark, tmp_path):
+    (tmp_path / "s.yaml").write_text("sources:\n- {name: a, url: 'https://a.example/f', category: golf}\n- {name: b, url: 'https://b.example/i', category: golf, access_type: api}\n- {name: c, url: 'https://c.example', category: golf, access_type: rss_scrape, scrape_url: 'https://c.example/p', enabled: false}\n")
+    got = {r.name: (r.enabled, r.source_access_tier, r.rss_url, r.api_url, r.scrape_url) for r in registry.load_sources(spark, tmp_path / "s.yaml").collect()}
+    assert got == {"a": (True, "rss_plus_extract", "https://a.example/f", None, None), "b": (True, "api_fulltext", None, "https://b.example/i", None), "c": (False, "rss_plus_extract", "https://c.example", None, "https://c.example/p")}
+    for bad in ("{name: a, url: '', category: g}", "{name: a, url: u, category: g, access_type: rss_scrape}", "{name: a, url: u, category: g, source_access_tier: api_fulltext}", "{name: a, url: u, category: g, access_type: api, source_access_tier: rss_only}", "{name: a, url: u, category: g, more: 1}", "{name: a, url: u, category: g, access_type: fax}"):
+        (tmp_path / "bad.yaml").write_text(f"sources:\n- {bad}\n")
+        with pytest.raises(ValueError):
+            registry.load_sources(spark, tmp_path / "bad.yaml")
+    traits = "{" + ", ".join(f"{t}: 3" for t in registry.TRAITS) + "}"
+    one = "- {{profile_id: {}, profile_name: n, description: d, priority_sections: [market], traits: {}}}\n"
+    (tmp_path / "p.yaml").write_text("active_profile: y\nprofiles:\n" + one.format("x", traits) + one.format("y", traits))
+    profiles = registry.load_profiles(spark, tmp_path / "p.yaml")
+    assert profiles.count() == 2 and registry.active_profile(profiles).first().profile_id == "y"
+    for body in (f"active_profile: z\nprofiles:\n{one.format('x', traits)}", f"active_profile: x\nprofiles:\n{one.format('x', traits) * 2}", f"active_profile: x\nprofiles:\n{one.format('x', traits.replace('3', '9', 1))}"):
+        (tmp_path / "q.yaml").write_text(body)
+        with pytest.raises(ValueError):
+            registry.load_profiles(spark, tmp_path / "q.yaml")
+    (tmp_path / "r.yaml").write_text("brief_min_items: 2\nbrief_max_items: 5\nother: 1\n")
+    rules = registry.load_rules(tmp_path / "r.yaml")
+    assert (rules.least_items, rules.most_items) == (2, 5)
+    (tmp_path / "r.yaml").write_text("brief_min_items: 6\nbrief_max_items: 5\n")
+    with pytest.raises(ValueError):
+        registry.load_rules(tmp_path / "r.yaml")
+    assert registry.config_path(None, "NO_SUCH_VARIABLE", "d.yaml").name == "d.yaml" and registry.config_path("x", "HOME", "d").name == "x"
+
+
 def test_quotas(spark):
     sources = spark.createDataFrame([(n, True, "rss", "rss_plus_extract") for n in "abc"] + [("d", False, "rss", "rss_plus_extract"), ("e", True, "scrape", "rss_plus_extract"), ("f", True, "rss", "rss_only")], "name string, enabled boolean, access_type string, source_access_tier string")
     assert {tuple(r) for r in records.fair_share(sources, 4, 8).collect()} == {("a", 2), ("b", 1), ("c", 1)}
@@ -213,13 +273,13 @@ def test_sources(spark, tmp_path):
     (tmp_path / "list.json").write_text('[{"title": "Three", "url": "https://x.example/d"}]')
     rows, status = feeds.scan_sources(
         spark,
-        [{"name": "f", "access_type": "rss", "category": "golf"}, {"name": "a", "access_type": "api"}, {"name": "off", "enabled": False}, {"name": "bad", "access_type": "broken"}],
-        {"rss": lambda s: feeds.read_rss(spark, str(tmp_path / "feed.xml")), "api": lambda s: feeds.read_api(spark, str(tmp_path / "*.json")), "broken": lambda s: 1 / 0},
+        [{"name": "f", "access_type": "rss", "category": "golf"}, {"name": "a", "access_type": "api"}, {"name": "off", "enabled": False}, {"name": "bad", "access_type": "broken"}, {"name": "late", "access_type": "late"}],
+        {"rss": lambda s: feeds.read_rss(spark, str(tmp_path / "feed.xml")), "api": lambda s: feeds.read_api(spark, str(tmp_path / "*.json")), "broken": lambda s: 1 / 0, "late": lambda s: spark.range(1).selectExpr("raise_error('unreadable') AS title")},
         "2024-01-02T00:00:00Z",
     )
     got = {(r.source, r.title, r.url, r.discovery_quality) for r in rows.collect()}
     assert got == {("f", "One", "https://x.example/a", "full_metadata"), ("f", "(untitled)", "https://x.example/b", "partial_metadata"), ("a", "Two", "https://x.example/c", "partial_metadata"), ("a", "Three", "https://x.example/d", "partial_metadata")}
-    assert [s["status"] for s in status] == ["ok", "ok", "skipped", "failed"]
+    assert [s["status"] for s in status] == ["ok", "ok", "skipped", "failed", "failed"]
     store = ArticleStore(spark, str(tmp_path / "store"))
     store.upsert(rows)
     store.upsert(rows)

@@ -41,7 +41,8 @@ def test_sentences(spark):
     assert col(spark, ["one two three four", "one two"], text.first_words("t", 3)) == ["one two three.", "one two"]
     long = col(spark, TEXTS[6:], text.short_sentence("t"))[0]
     assert len(long) <= 241 and long.endswith(".")
-    assert text.shorten_sentence("It went to the") == "It went to."
+    assert col(spark, ["It went to the", "b", "a", None, ""], text.short_sentence("t")) == ["It went to.", "b.", "", "", ""]
+    assert col(spark, ["One two " * 40], text.short_sentence("t"))[0] == ("One two " * 30).strip() + "."
 
 
 def test_words_and_names(spark):
