@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswerk.llm.text import STOPWORDS, WORD, line_key, pattern
+from presswerk.llm.text import STOPWORDS, WORD, alternatives, line_key, pattern
 from presswerk.session import spread
 
 GOOD, BAD, OPEN, LABEL = 1, 2, 0, 3  # LABEL: the heading of a list of other stories; bad, and so is its list
@@ -26,7 +26,7 @@ LITTLE_PROSE, MUCH_PROSE = 0.06, 0.2  # share of stop words in a sentence, and i
 FURNITURE_WORDS = 40
 
 # Wording of page furniture in English, German, French and Spanish, over line keys.
-_BAD = pattern(
+_BAD_PARTS = alternatives(
     r"""^©|^\(c\)\s*0|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados
     |reproduction in whole|toute reproduction|prohibida la reproducción|nachdruck,? auch|vervielfältigung
     |\buses? cookies (?:to|for|and)\b|\bcookie (?:policy|settings)|^cookie notice$|use of cookies|which cookies|setzen von cookies|verwendet cookies|cookies und ähnliche
@@ -62,6 +62,14 @@ _OWN = pattern(
     |^(?:contacts?|kontakt|contacto|details|e-?mail|phone|tel)\s*:\s*\S|^(?:final score|score|endstand|ergebnis|score final|resultado(?: final)?|marcador)\s*:
     |^[-–•*·]\s+\S|^\d+[.)]\s+\S|^https?://\S+$|^more on \w+day\b|^mehr am \w+tag\b"""
 )
+# What stands at the beginning of a line is tried there only, the rest only in lines that hold a part of it.
+_BAD_START = re.compile("|".join(x for x in _BAD_PARTS if x.startswith("^")))
+_BAD_WITHIN = re.compile("|".join(x for x in _BAD_PARTS if not x.startswith("^")))
+# A part of each wording that may stand anywhere in a line.
+_STEMS = (
+    "rights reserved", "rechte vorb", "droits r", "derechos res", "reproduc", "nachdruck", "vervielf", "cookie", "traceurs", "accept", "akzeptier", "aceptar", "information", "información", "small files", "privacy", "datenschutz", "confidentialit",
+    "privacidad", "advertise", "not sell", "delayed", "investment advice", "anlageberatung", "not responsible", "haftung", "responsab", "subscribe", "abonnier", "reading this",
+)
 _END = re.compile(r"[.!?…:;,][\"”’»)\]]*$")
 _SEPARATED = re.compile(r"\s+[|·»›>/•]\s+|\s{2,}")
 _QUOTED = re.compile(r"^[\"“«„‘'].{3,}[\"”»“’']")
@@ -96,10 +104,10 @@ def link_densities(page: str | None) -> dict[str, float]:
 
 def _is_furniture(key: str, n: int) -> bool:
     """Whether a block of ``n`` words speaks as the page: once in a short one, in a long one all along."""
-    if n <= FURNITURE_WORDS:
-        return bool(_BAD.search(key))
-    first = _BAD.search(key)
-    return bool(first) and sum(1 for _ in _BAD.finditer(key)) * FURNITURE_WORDS >= n
+    found = int(bool(_BAD_START.match(key)))
+    if (n > FURNITURE_WORDS or not found) and any(stem in key for stem in _STEMS):
+        found += sum(1 for _ in _BAD_WITHIN.finditer(key))
+    return found * FURNITURE_WORDS >= n > 0
 
 
 @lru_cache(maxsize=50_000)
@@ -116,10 +124,10 @@ def decide(key: str, spaced: str, linked: float = 0.0) -> int:
         return LABEL
     if _is_furniture(key, n):
         return BAD
-    if _OWN.search(key):
-        return GOOD
     ended = bool(_END.search(key))
     prose = sum(w in STOPWORDS for w in found) / n
+    if ended and n >= 18 and prose >= LITTLE_PROSE or _OWN.search(key):
+        return GOOD
     if ended and n >= 3 and prose >= LITTLE_PROSE or n >= 25 and prose >= MUCH_PROSE:
         return GOOD
     if not ended:

@@ -97,7 +97,7 @@ def assess(text: str, title: str | None, url: str | None) -> tuple[bool, str, bo
     named = _terms(f"{title or ''} {(url or '').rpartition('/')[2]}")
     if not opening or named & _terms(opening):
         return residue, "", False
-    shared = sum(bool(named & _terms(k)) for k in keys)
+    shared = sum(any(w in k for w in named) for k in keys)
     return residue, _FOLDED.sub("0", opening), shared * 2 <= len(keys)
 
 
@@ -119,8 +119,10 @@ def is_placeholder(title: str) -> bool:
 def _kind(key: str) -> bool:
     """A line that speaks as an error page or filler: a short one in any part, a long one in its beginning, as reports
     quote such words later on."""
-    found = _NOTICE.search(key) or _FILLER.search(key)
-    return bool(found) and (len(key) <= NOTICE_CHARS or found.start() <= NOTICE_CHARS // 4)
+    if len(key) <= NOTICE_CHARS:
+        return bool(_NOTICE.search(key) or _FILLER.search(key))
+    found = _NOTICE.search(key, 0, NOTICE_CHARS) or _FILLER.search(key, 0, NOTICE_CHARS)
+    return bool(found) and found.start() <= NOTICE_CHARS // 4
 
 
 def _assess_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

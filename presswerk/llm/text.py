@@ -13,6 +13,18 @@ def pattern(text: str) -> re.Pattern:
     return re.compile("".join(x.strip() for x in text.splitlines()))
 
 
+def alternatives(text: str) -> list[str]:
+    """The alternatives of an expression given in lines, parted at the bars that stand in no bracket."""
+    out, depth = [""], 0
+    for c in re.findall(r"\\.|.", "".join(x.strip() for x in text.splitlines())):
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 def line_key(line: str) -> str:
     """The form under which two lines are the same: trimmed, white space and digit runs folded, lower case."""
     return _DIGITS.sub("0", " ".join(line.split()).lower())
