@@ -131,11 +131,18 @@ def tokens(sentence: str, known: frozenset[str]) -> tuple[list[str], list[int]]:
     """The words of an undisguised sentence, unknown ones in one mark, and where each begins among its words."""
     out: list[str] = []
     at: list[int] = []
+    unknown = False  # whether the last word was
     for i, word in enumerate(WORD.findall(sentence)):
-        kept = word if word in known else NUMBER if word.isdigit() else UNKNOWN
-        if kept != UNKNOWN or not out or out[-1] != UNKNOWN:
-            out.append(kept)
-            at.append(i)
+        if word in known:
+            unknown = False
+        elif word.isdigit():
+            word, unknown = NUMBER, False
+        elif unknown:
+            continue
+        else:
+            word, unknown = UNKNOWN, True
+        out.append(word)
+        at.append(i)
     return out, at
 
 

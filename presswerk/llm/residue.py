@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswerk.llm.boilerplate import GOOD, decide, is_article_part, page_lines
-from presswerk.llm.text import STOPWORDS, WORD, line_key, pattern
+from presswerk.llm.text import STOPWORDS, WORD, alternatives, line_key, pattern
 from presswerk.session import spread, stage
 
 # The syntaxes of template places.
@@ -35,7 +35,7 @@ _MENTION_BEFORE = re.compile(
 )
 _MENTION_AFTER = re.compile(r"^\s*(?:</code>|[\"”»’'`])")
 # Wording of error, block, maintenance and script notices, over line keys.
-_NOTICE = pattern(
+_NOTICES = alternatives(
     r"""^(?:http )?(?:error |status )?0:? ?(?:\W )?(?:not found|forbidden|bad gateway|bad request|unauthorized|gone|internal server error|service (?:temporarily )?unavailable|gateway time-?out|too many requests|request timeout)
     |^http error 0|^error 0 ?:|^fehler 0 ?:|^erreur 0 ?:|^(?:page|seite|site) not found|page you (?:are looking|requested|were looking)|(?:could not|cannot|can['’]t|couldn['’]t) (?:find|locate) (?:that|this|the) (?:story|page|article)
     |requested (?:article|page|url|resource) (?:is|was|could|has|does)|^access (?:denied|to this page)|do not have permission|not available in your (?:region|country)|^too many requests|slow down and retry|^something went wrong|unexpected error (?:occurred|has)
@@ -48,10 +48,19 @@ _NOTICE = pattern(
     |página solicitada no existe|acceso denegado|no tiene permiso para ver|active javascript|activar javascript|sitio en mantenimiento|servicio no disponible|comprobando su navegador|página no encontrada"""
 )
 # Filler that stands until the text is there.
-_FILLER = pattern(
+_FILLERS = alternatives(
     r"""\blorem ipsum\b|^(?:asdf|qwer|xxx+|test|bla+h?|foo|bar|dummy)(?: (?:asdf|qwer|xxx+|test|bla+h?|foo|bar|please ignore|dummy|text))+\b|^body copy goes here|text goes here|^dummy text\b|placeholder,|^headline placeholder
     |^this is a (?:sample|test|dummy|placeholder) (?:paragraph|text|article|story)|(?:article|story|body) text will appear here|replace (?:this|before) publishing|^insert (?:text|body|copy) here|^type your text|^click to (?:edit|add) text|^sample text|beispieltext|blindtext|^texte? (?:d['’])?exemple|texto de (?:ejemplo|relleno)"""
 )
+# What stands at the beginning of a line is tried there only, the rest only in lines that hold a part of it.
+_AT_START = re.compile("|".join(x for x in (*_NOTICES, *_FILLERS) if x.startswith("^")))
+_WITHIN = re.compile("|".join(x for x in (*_NOTICES, *_FILLERS) if not x.startswith("^")))
+# A part of each wording that may stand anywhere in a line.
+_STEMS = (
+    "page you", "find", "locate", "unexpected error", "slow down", "requested", "permission", "not available", "database", "maintenance", "down for", "back ", "unavailable", "try again", "reload", "javascript", "scripts", "cookies", "browser", "human", "robot", "complet",
+    "blocker", "render failed", "exception", "timed out", "stack trace", "zugriff", "berechtigung", "wartungs", "nicht", "seite", "introuvable", "accès refusé", "indisponible", "navigateur", "autorisé", "solicitada", "denegado", "permiso",
+    "mantenimiento", "no disponible", "navegador", "no encontrada", "lorem", "goes here", "placeholder", "appear here", "publishing", "beispieltext", "blindtext", "exemple", "ejemplo", "relleno",
+)
 _FOLDED = re.compile(r"[0-9a-f]*\d[0-9a-f]*", re.I)  # numbers and ids
 _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^@/?#]*@)?(?:www\d?\.|m\.|amp\.)?([^/?#:]+)", re.I)
 NOTICE_CHARS = 160
@@ -119,9 +128,13 @@ def is_placeholder(title: str) -> bool:
 def _kind(key: str) -> bool:
     """A line that speaks as an error page or filler: a short one in any part, a long one in its beginning, as reports
     quote such words later on."""
+    if _AT_START.match(key):
+        return True
+    if not any(stem in key for stem in _STEMS):
+        return False
     if len(key) <= NOTICE_CHARS:
-        return bool(_NOTICE.search(key) or _FILLER.search(key))
-    found = _NOTICE.search(key, 0, NOTICE_CHARS) or _FILLER.search(key, 0, NOTICE_CHARS)
+        return bool(_WITHIN.search(key))
+    found = _WITHIN.search(key, 0, NOTICE_CHARS)
     return bool(found) and found.start() <= NOTICE_CHARS // 4
 
 
