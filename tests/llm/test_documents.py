@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from presswerk.llm.abuse import _ENTRIES, Scorer, abuse_rates, fit, score_documents, undisguise, windows
+from presswerk.llm import abuse
+from presswerk.llm.abuse import _ENTRIES, Scorer, abuse_rates, fit, score_documents, sentences, undisguise, windows
 from presswerk.llm.byte_bpe import Encoder, PairTable, encode_documents, merge_words
 from presswerk.llm.leakage import Items, bare_words, leaked_documents, leaked_passages, search_shard, suffix_array, without_leaks
 
@@ -142,6 +143,23 @@ def test_disguises_and_windows():
     assert {i for a, b in windows(101) for i in range(a, b)} == set(range(101))  # no word is left out
 
 
+def test_plain_texts_cost_no_substitution(monkeypatch):
+    for name in ("_LONG", "_MASKED", "_SPELLED", "_LEETED"):
+        monkeypatch.setattr(abuse, name, None)  # none of them is tried
+    text = "The mayor’s 14 aides met at 10:30 — a day early. Tarn paid 3,500 for it."
+    assert undisguise(text) == text.lower()
+
+
+def test_sentences_as_split():
+    rng = np.random.default_rng(5)
+    bits = list(" .!?…;\"”»’')—–-_,\r\n\t\u00a0") + [" "] * 9 + ["ab", "Tarn", "7", "é"] * 3
+    for _ in range(3000):
+        text = "".join(rng.choice(bits, 30))
+        words, begins = sentences(text)
+        split = [w for x in abuse._SENTENCE.split(text) if (w := abuse.WORD.findall(x))]
+        assert [words[a:b] for a, b in zip(begins, [*begins[1:], len(words)])] == split
+
+
 def test_judged_texts_decide():
     assert max(len(e) for e in _ENTRIES) <= 3  # the lexicon holds no sentences
     path = Path("/root/testdata/sf0.001/abuse_examples.parquet")
